@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregation, expressions, joining, scans, sorting, statements, streams, tables, windowing  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 ENTRY = "flagship"
+__all__ = ["ENTRY", "ORACLES", "QUERIES"]
