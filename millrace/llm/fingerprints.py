@@ -80,9 +80,9 @@ def settle(hashed: DataFrame, apart: DataFrame | None, h1: str, h2: str, canon:
     """``hashed`` with the fingerprint ``name``; ``apart``: what ``collisions`` found, None if nothing."""
     if apart is None:
         return hashed.withColumn(name, digest_text(F.col(h1), F.col(h2), F.lit(0)))
-    a = apart.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("canon").alias("__canon"), "rank")
+    a = apart.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("canon").alias("__canon"), F.col("rank").alias("__rank"))
     out = hashed.join(a, (F.col(h1) == F.col("__h1")) & (F.col(h2) == F.col("__h2")) & (F.col(canon) == F.col("__canon")), "left")
-    return out.withColumn(name, digest_text(F.col(h1), F.col(h2), F.coalesce("rank", F.lit(0)))).drop("__h1", "__h2", "__canon", "rank")
+    return out.withColumn(name, digest_text(F.col(h1), F.col(h2), F.coalesce("__rank", F.lit(0)))).drop("__h1", "__h2", "__canon", "__rank")
 
 
 def canonical_rows(texts: DataFrame) -> DataFrame:

@@ -155,8 +155,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where = keep(where, "where")
     wanted = where.groupBy("doc", "digest").agg(F.collect_list(F.struct("h1", "line")).alias("wanted"))
     holds = may_contain(where, n_near, "digest")
-    texts = some.filter(holds(F.col("__digest"))).join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__digest") == F.col("digest")))
-    texts = texts.select(text_col, "wanted").mapInArrow(_fetch, "h1 long, line string").groupBy("h1").agg(F.min("line").alias("text"))
+    texts = some.filter(holds(F.col("__digest"))).select("__doc", "__digest", F.col(text_col).alias("__text")).join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__digest") == F.col("digest")))
+    texts = texts.select("__text", "wanted").mapInArrow(_fetch, "h1 long, line string").groupBy("h1").agg(F.min("line").alias("text"))
     members = texts.join(where.select(F.col("h1").alias("id"), "component").distinct(), F.col("h1") == F.col("id")).select("id", "component", F.lit(1).cast("long").alias("weight"), "text")
     edges = verified(members, shingle_sets(size), threshold).filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
     classes = components(edges, "classes")

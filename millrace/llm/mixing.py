@@ -80,10 +80,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rates = rates.join(best, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     else:
         rates = rates.withColumn("threshold", F.col("fraction"))
-    rates = keep(rates.select(F.col("source").alias("__s"), "source_size", "target", "whole", "threshold"), "rates")
+    rates = keep(rates.select(F.col("source").alias("__s"), "source_size", "target", F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold")), "rates")
     out = docs.withColumn("size", n_words(F.col(text_col))).withColumn("__u", u).withColumn("__source", source)
     out = out.join(rates, F.col("__source").eqNullSafe(F.col("__s")), "left")
-    out = out.withColumn("copies", (F.col("whole") + (F.col("__u") < F.col("threshold")).cast("long")).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    out = out.withColumn("copies", (F.col("__whole") + (F.col("__u") < F.col("__threshold")).cast("long")).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
     return out.select(*docs.columns, *added)
 
 

@@ -29,7 +29,7 @@ from .store import keep, small_batches
 
 WINDOW = 1024
 #: Entries of a worker's word cache; it starts anew when full.
-CACHE = 300_000
+CACHE = 150_000
 #: A packing partition holds so many tokens at most (they bound a task's memory), and at least, so that there are partitions for all tasks.
 PART_MOST, PART_LEAST = 32_000_000, 200_000
 

@@ -83,4 +83,36 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_sharding, op4_mixing, op5_quality, op6_chat, op7_language_id, op8_packing, op9_jaccard_join, op10_licenses)}
 
-ORACLES: dict[str, str] = {}
+#: The draw is an MD5, so DuckDB can follow it; sums and thresholds as in ``mixing``.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+o AS (SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER b, 0) AS full_cap, coalesce(sum(weight) OVER b, 0) AS full_weight, sum(source_size) OVER () * 1.5::DOUBLE AS goal, sum(weight) OVER () AS all_weight
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (goal - full_cap) / (all_weight - full_weight) AS level FROM o),
+f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio >= level),
+t AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, weight * f.level) END AS target FROM l, f),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+k AS (SELECT *, floor(rate + 1e-9) AS whole, greatest(0.0, rate - floor(rate + 1e-9)) AS fraction FROM r),
+c AS (SELECT source, cell, sum(size) OVER (PARTITION BY source ORDER BY cell) AS below FROM (SELECT source, u >> 36 AS cell, sum(size) AS size FROM d GROUP BY ALL)),
+m AS (SELECT c.source, cell, abs(below - fraction * source_size) AS miss, fraction * source_size AS need FROM c JOIN k ON c.source IS NOT DISTINCT FROM k.source),
+b AS (SELECT source, CASE WHEN max(need) <= min(miss) THEN 0 ELSE arg_min(cell, (miss, cell)) + 1 END AS edge FROM m GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN u < edge * (1::BIGINT << 36) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '[INST]', ''))) // 6
+  + (length(text) - length(replace(text, '[/INST]', ''))) // 7 AS controls, length(text) - length(replace(text, '\', '')) AS slashes FROM c),
+p AS (SELECT *, length(role) + length(text) + 8 + CASE WHEN role = 'user' THEN 15 ELSE 0 END + CASE WHEN controls > 0 THEN 1 + controls + slashes ELSE 0 END AS chars FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+ORACLES = {"op4_mixing": MIXING_SQL, "op6_chat": CHAT_SQL}

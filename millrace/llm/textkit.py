@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at a time; a longer text makes a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
