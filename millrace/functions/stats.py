@@ -34,16 +34,37 @@ def most_common(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), "value").limit(k)
 
 
+def _ranged(counts: DataFrame, lanes: int) -> DataFrame:
+    """(v, n) with ``lane``, the number of its range: ranges of about equally many values, cut at approximate percentiles."""
+    cuts = counts.agg(F.percentile_approx("v", [k / lanes for k in range(1, lanes)], 10_000).alias("q")).first()["q"] if lanes > 1 else None
+    ends = sorted(set(cuts or []))
+
+    def place(lo: int, hi: int):  # a balanced tree of comparisons
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("v") <= F.lit(ends[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return counts.withColumn("lane", place(0, len(ends)))
+
+
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
+    lanes = max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return _ranged(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")), lanes)
+
+
 def equi_depth(df: DataFrame, column: str, buckets: int = 100) -> DataFrame:
-    """Histogram of buckets of ceil(n / buckets) rows each.
+    """Histogram of buckets of ceil(n / buckets) rows each, of a column of numbers, dates or times.
 
-    Values are counted first, and running counts over the *distinct* values place them;
-    each value spreads over the buckets that its rows reach. So no sort of all rows.
+    Values are counted first; running counts over the distinct values, range by range,
+    place them, and each value spreads over the buckets that its rows reach. Neither all
+    rows nor all values are sorted in one task: only one row a range is.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    size = F.ceil(F.sum("n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / buckets)
-    placed = counts.withColumn("upto", upto).withColumn("size", size)
+    counts = _value_counts(df, column)
+    totals = counts.groupBy("lane").agg(F.sum("n").alias("lane_n"))  # one row a range
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = totals.select("lane", (F.sum("lane_n").over(Window.orderBy("lane")) - F.col("lane_n")).alias("before"), F.ceil(F.sum("lane_n").over(everything) / buckets).alias("size"))
+    placed = counts.join(F.broadcast(starts), "lane").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("lane").orderBy("v")))
     first, last = F.floor((F.col("upto") - F.col("n")) / F.col("size")), F.floor((F.col("upto") - 1) / F.col("size"))
     spread = placed.withColumn("bucket", F.explode(F.sequence(first, last)))
     inside = F.least("upto", (F.col("bucket") + 1) * F.col("size")) - F.greatest(F.col("upto") - F.col("n"), F.col("bucket") * F.col("size"))
@@ -56,13 +77,15 @@ def equi_width(df: DataFrame, column: str, lo: float, hi: float, buckets: int) -
 
 
 def max_diff(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """Histogram cut at the largest gaps between neighbouring distinct values."""
-    v = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    v = v.withColumn("gap", F.col("v") - F.lag("v").over(Window.orderBy("v")))
-    cuts = v.filter("gap is not null").orderBy(F.desc("gap"), "v").limit(buckets - 1).select(F.col("v").alias("cut"))
-    marked = v.join(F.broadcast(cuts), F.col("v") == F.col("cut"), "left")  # buckets - 1 rows
-    placed = marked.withColumn("bucket", F.sum(F.when(F.col("cut").isNotNull(), 1).otherwise(0)).over(Window.orderBy("v")))
-    return placed.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("distinct_values"))
+    """Histogram cut at the largest gaps between neighbouring distinct values (of a numeric column)."""
+    counts = _value_counts(df, column)
+    tops = counts.groupBy("lane").agg(F.max("v").alias("top"))  # one row a range
+    tops = tops.select("lane", F.lag("top").over(Window.orderBy("lane")).alias("below"))
+    before = F.coalesce(F.lag("v").over(Window.partitionBy("lane").orderBy("v")), F.col("below"))
+    gaps = counts.join(F.broadcast(tops), "lane").withColumn("gap", F.col("v") - before)
+    cuts = [r["v"] for r in gaps.filter("gap is not null").orderBy(F.desc("gap"), "v").limit(buckets - 1).collect()]  # buckets - 1 values
+    bucket = reduce(lambda a, c: a + F.when(F.col("v") >= F.lit(c), 1).otherwise(0), sorted(cuts), F.lit(0)).cast("long")
+    return counts.groupBy(bucket.alias("bucket")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("distinct_values"))
 
 
 def approx_distinct(df: DataFrame, column: str, rsd: float = 0.02) -> DataFrame:
