@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,25 +50,58 @@ def _local(batches):
     yield stars()
 
 
+def _neighbours(batches):
+    """Links between rows (key, id) that follow each other with equal keys, as edges."""
+    key = last = None
+    for batch in batches:
+        k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        if not len(k):
+            continue
+        same = np.flatnonzero((k[1:] == k[:-1]) & (i[1:] != i[:-1]))
+        a, b = i[same + 1], i[same]
+        if key == k[0] and last != i[0]:
+            a, b = np.append(a, i[0]), np.append(b, last)
+        key, last = k[-1], i[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def chain(rows: DataFrame) -> DataFrame:
+    """Edges that join all ids of a key, from rows (key, id): each to the one before it in sorted order.
+
+    A key of any number of rows streams through its sort; no task holds a key's rows.
+    """
+    laid = rows.repartition("key").sortWithinPartitions("key", "id")
+    return laid.mapInArrow(lambda batches: _local(_neighbours(batches)), "a long, b long")
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """The edges (a, b) of each partition as stars: fewer rows, the same components."""
     return edges.select("a", "b").mapInArrow(_local, "a long, b long")
 
 
+#: Edges (stars that tasks have already contracted) that one task may hold: fewer than these are finished in one.
+LOCAL = 200_000
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of the edges (a, b); a component is named by its least node.
 
-    Large-star and small-star rounds (Kiveris et al., 2014) on tables: each round's
+    Each task contracts its edges to stars; as long as more than ``LOCAL`` are left,
+    large-star and small-star rounds (Kiveris et al., 2014) run on tables. Each round's
     minima are partial aggregates, so a node of very many edges is no bottleneck, and
-    the rounds needed grow with the logarithm of the nodes.
+    the rounds needed grow with the logarithm of the nodes. What is left of few edges
+    is contracted by one task on an executor.
     """
     now = keep(contract(edges.filter("a <> b")), name)
     before = None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if state == before or not state[0]:
+        n, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+        if n <= LOCAL:
+            now = keep(contract(now.coalesce(1)), name)
+            break
+        if (n, total) == before:
             break
-        before = state
+        before = (n, total)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("x")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_contain
-from .components import components, contract
+from .components import chain, components
 from .store import keep, small_batches, without
 from .textkit import U, band_keys, char_shingles, chunks, one_permutation, signed
 from .verify import verified
@@ -77,7 +77,7 @@ def _bands(size: int, bands: int, rows: int):
                     continue
                 h, line = char_shingles(codes, np.array(starts), np.array(ends), size)
                 band = band_keys(one_permutation(h, line, len(keys), bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(band.ravel())), pa.array(np.repeat(np.array(keys, np.int64), bands))], ["band", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(band.ravel())), pa.array(np.repeat(np.array(keys, np.int64), bands))], ["key", "id"])
 
     return run
 
@@ -94,12 +94,6 @@ def shingle_sets(size: int):
     return sets
 
 
-def chain(bands: DataFrame) -> DataFrame:
-    """Edges between rows (band, id) that follow each other in a band."""
-    before = F.lag("id").over(Window.partitionBy("band").orderBy("id"))
-    return contract(bands.withColumn("b", before).filter("b is not null and b <> id").select(F.col("id").alias("a"), "b"))
-
-
 def _fetch(batches):
     """(h1, line) of the wanted line numbers of each document."""
     for batch in batches:
@@ -148,7 +142,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "digest", "line")).alias("at"))
     first = keep(first, "first")
 
-    pairs = chain(some.select(text_col).mapInArrow(_bands(size, bands, rows), "band long, id long"))
+    pairs = chain(some.select(text_col).mapInArrow(_bands(size, bands, rows), "key long, id long"))
     near = keep(components(pairs, "near"), "candidates")
     n_near = near.count()
     where = near.join(first, F.col("id") == F.col("h1")).select("h1", "component", "at.doc", "at.digest", "at.line")
@@ -180,7 +174,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moved = docs.filter("__hit").join(gone.select(F.col("doc").alias("__d"), F.col("digest").alias("__g"), "removed"), (F.col("__doc") == F.col("__d")) & (F.col("__digest") == F.col("__g")), "left").drop("__d", "__g")
     moved = moved.withColumn("__copy", F.row_number().over(Window.partitionBy("__doc", "__digest").orderBy("__digest")))
     out = same.unionByName(moved)
-    all_lines = F.size(F.filter(F.split(text_col, "\n"), lambda x: x.rlike(r"(?U)\S")))
+    # most lines begin with a visible ASCII character; the others are searched for one
+    all_lines = F.size(F.filter(F.split(text_col, "\n"), lambda x: F.ascii(x).between(33, 126) | x.rlike(r"(?U)\S")))
     out = out.withColumn("n_lines", F.coalesce(F.when(F.length(text_col) > 0, all_lines), F.lit(0)))
     copy = F.col("__copy") > 1
     out = out.withColumn("n_kept", F.when(copy, F.lit(0)).otherwise(F.col("n_lines") - F.coalesce(F.size("removed"), F.lit(0))))

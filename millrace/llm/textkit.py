@@ -106,8 +106,24 @@ def word_shingles(word_hashes: np.ndarray, first: np.ndarray, size: int) -> tupl
 
 def char_shingles(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` characters of each span, and their spans; a shorter span has one shingle."""
+    n = len(codes)
     at, span = ranges(starts, np.maximum(ends - starts - size + 1, 1))
-    return span_hashes(codes, at, np.minimum(at + size, ends[span])), span
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum((codes.astype(U) + U(1)) * up[:n], out=total[1:])
+    if n >= size:  # at every place of the chunk first: one pass over neighbours, no gathering of both ends
+        every = (total[size:] - total[:-size]) * down[: n - size + 1]
+        h = every[np.minimum(at, n - size)]
+    else:
+        h = np.zeros(len(at), U)
+    short = np.flatnonzero(ends - starts < size)
+    if len(short):
+        mine = np.searchsorted(span, short)
+        h[mine] = (total[ends[short]] - total[starts[short]]) * down[starts[short]] + (ends - starts)[short].astype(U) * U(0xD6E8FEB86659FD93)
+    h ^= h >> U(32)
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(29)
+    return h, span
 
 
 def seeds(n: int, salt: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from millrace.llm import components as P
 from millrace.llm import jaccard_join as J
@@ -34,7 +35,9 @@ def word_sets(texts):
     return out
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, P.LOCAL])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(P, "LOCAL", local)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5100)]
     got = {r["id"]: r["component"] for r in P.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
