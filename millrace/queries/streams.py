@@ -9,23 +9,25 @@ from ..streaming import streams as S
 from .registry import query
 from .scans import _scratch
 
-N = F.count(F.lit(1)).alias("n")
+
+def n():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_tumbling(t):
-    return S.tumbling(t.events, "ts", "1 hour", ["event_type"], [N]).select("window_start", "event_type", "n")
+    return S.tumbling(t.events, "ts", "1 hour", ["event_type"], [n()]).select("window_start", "event_type", "n")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS window_start, count(*) AS n FROM events, (VALUES (0), (1)) AS x(k) GROUP BY 1")
 def event_sliding(t):
-    return S.tumbling(t.events, "ts", "2 hours", [], [N], slide="1 hour").select("window_start", "n")
+    return S.tumbling(t.events, "ts", "2 hours", [], [n()], slide="1 hour").select("window_start", "n")
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events),
  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(t):
-    return S.sessions(t.events, "ts", "6 hours", ["user_id"], [N]).select("user_id", "session_start", "n")
+    return S.sessions(t.events, "ts", "6 hours", ["user_id"], [n()]).select("user_id", "session_start", "n")
 
 
 @query("SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
