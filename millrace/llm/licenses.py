@@ -2,9 +2,9 @@
 
 1. Document frequencies of all template words are counted over the whole corpus.
 2. Each template is indexed by its rarest words: word -> (template, position).
-3. In a file, the index words of highest IDF vote for (template, offset), the offset
-   being the difference of the two positions; offsets at which enough of a template's
-   indexed words agree are alignments.
+3. In a file, every index word votes for (template, offset), the offset being the
+   difference of the two positions; offsets at which enough of a template's indexed
+   words agree are alignments. A template has few index words, so postings are short.
 4. An alignment counts only if the template's mandatory key phrases stand in it; its
    score is the share of the template's words that stand where the template has them.
 """
@@ -40,8 +40,8 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
 ]
 
-#: Indexed words of a template; index words that a file looks up; share of the indexed words that must agree on an offset; words by which an offset may drift.
-INDEXED, LOOKED_UP, AGREE, DRIFT = 8, 24, 0.6, 2
+#: Indexed words of a template; share of the indexed words that must agree on an offset; words by which an offset may drift.
+INDEXED, AGREE, DRIFT = 8, 0.6, 2
 
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[48:58] = WORD_BYTES[65:91] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
@@ -59,14 +59,13 @@ def _hash(word: str) -> int:
 
 
 class Index:
-    """Template words, rarest first indexed; ``df``: documents that hold each word, of ``n``."""
+    """Template words, rarest first indexed; ``df``: documents that hold each word."""
 
-    def __init__(self, templates, df: dict[str, int], n: int):
+    def __init__(self, templates, df: dict[str, int]):
         self.labels = [t[0] for t in templates]
         self.words = [np.array([_hash(w) for w in split_words(t[1])], np.int64) for t in templates]
         self.keys = [[np.array([_hash(w) for w in split_words(k)], np.int64) for k in t[2]] for t in templates]
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.idf: dict[int, float] = {}
         self.need = []
         for t, (_, text, _) in enumerate(templates):
             w = split_words(text)
@@ -74,18 +73,15 @@ class Index:
             for p, x in enumerate(w):
                 if x in rare:
                     self.postings[_hash(x)].append((t, p))
-                    self.idf[_hash(x)] = math.log((n + 1) / (1 + df.get(x, 0)))
             self.need.append(max(2, math.ceil(AGREE * len(rare))))
         self.sorted = np.array(sorted(self.postings), np.int64)
 
     def scan(self, h: np.ndarray, at: np.ndarray) -> dict[str, float]:
         """Labels and scores of a file with word hashes ``h``, of which those at ``at`` are indexed."""
-        rank = sorted({int(x) for x in h[at]}, key=lambda x: (-self.idf[x], x))[:LOOKED_UP]
-        chosen, votes = set(rank), Counter()
-        for p in at.tolist():
-            if int(h[p]) in chosen:
-                for t, q in self.postings[int(h[p])]:
-                    votes[t, p - q] += 1
+        votes: Counter = Counter()
+        for p, x in zip(at.tolist(), h[at].tolist(), strict=True):
+            for t, q in self.postings[x]:
+                votes[t, p - q] += 1
         found: dict[str, float] = {}
         for t, offset in votes:
             near = sum(votes.get((t, offset + d), 0) for d in range(-DRIFT, DRIFT + 1))
@@ -123,17 +119,16 @@ def _frequencies(vocabulary: list[str]):
     h, names = h[order], np.array(vocabulary, object)[order]
 
     def run(batches):
-        total, docs = np.zeros(len(h), np.int64), 0
+        total = np.zeros(len(h), np.int64)
         for batch in batches:
-            for i, j, b, off in chunks(batch.column(0)):
-                docs += j - i
+            for _, _, b, off in chunks(batch.column(0)):
                 own, first = _hashed(b, off)
                 at = np.minimum(np.searchsorted(h, own), len(h) - 1)
                 hit = np.flatnonzero(h[at] == own)
                 row = np.searchsorted(first, hit, "right") - 1
                 pairs = np.unique(row * len(h) + at[hit])
                 total += np.bincount(pairs % len(h), minlength=len(h))
-        yield pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([*total.tolist(), docs], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total, pa.int64())], ["word", "n"])
 
     return run
 
@@ -179,8 +174,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates=None, phrases: dict[
     text = F.col(text_col).cast("string")
     vocabulary = sorted({w for t in templates for w in split_words(t[1])})
     counted = docs.select(text.alias("t")).mapInArrow(_frequencies(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row a template word
-    df = {r["word"]: r["n"] for r in counted}
-    index = Index(templates, {k: v for k, v in df.items() if k}, df.get(None, 0))
+    index = Index(templates, {r["word"]: r["n"] for r in counted})
     hashed = [(np.array([_hash(w) for w in split_words(p)], np.int64), label) for p, label in phrases.items()]
 
     @F.pandas_udf(RESULT)

@@ -207,5 +207,25 @@ def test_licenses(spark, corpus):
     assert got[3]["score"] == 1.0
 
 
+def test_licenses_of_many_notices(spark):
+    """Every notice of a long file is found, whatever the number of its index words and however common they are."""
+    import random
+
+    rng = random.Random(4)
+    own = [(f"t{k}", text, keys) for k, (_, text, keys) in enumerate(N.TEMPLATES)]
+    filler = [f"filler{k}" for k in range(500)]
+    texts = []
+    for size in (3, 5, 10, 10):
+        picked = rng.sample(range(10), size)
+        texts.append(("\n\n".join(" ".join(rng.choices(filler, k=200)) + "\n" + own[k][1] for k in picked), {f"t{k}" for k in picked}))
+    common = [(own[k][1], {f"t{k}"}) for k in (4, 8, 9) for _ in range(20)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts + common)], "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in N.scan(df, templates=own, phrases={"no such phrase": "none"}).collect()}
+    for k, (_, want) in enumerate(texts + common):
+        assert got[k] >= want, (k, want - got[k])
+    labels = N.scan(df).filter("doc_id = 3").first()["labels"]
+    assert labels == "apache,bsd,cc-by-nc,gpl,mit,mpl"
+
+
 def test_licenses_odd(spark, odd, empty):
     assert N.scan(odd).count() == 7 and N.scan(empty).count() == 0
