@@ -16,6 +16,8 @@ powers of two, so nothing is ever padded.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 
@@ -37,9 +39,11 @@ PART_MOST, PART_LEAST = 32_000_000, 200_000
 class WordCache(dict):
     """Token ids (little-endian uint16) of a word with its leading space; b"" marks words that must not be cut out."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, added: dict[str, int] | None = None):
         super().__init__()
         self.encode = encode
+        self.added = {t: np.array([k], "<u2").tobytes() for t, k in (added or {}).items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= CACHE:
@@ -61,8 +65,26 @@ def load_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a tokenizers .json recognises in the text itself, before any splitting; a rank file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that take white space or need word edges are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 def encode_text(text: str, cache: WordCache) -> bytes:
-    """Ids of a text. The pattern always starts a piece at a space before a non-space, so words are encoded apart and cached."""
+    """Ids of a text; added tokens stand for themselves, and what is between them is encoded apart."""
+    if cache.at_added is None or not cache.at_added.search(text):
+        return encode_plain(text, cache)
+    return b"".join(cache.added[t] if t in cache.added else encode_plain(t, cache) for t in cache.at_added.split(text))
+
+
+def encode_plain(text: str, cache: WordCache) -> bytes:
+    """Ids of a text without added tokens. The pattern always starts a piece at a space before a non-space, so words are encoded apart and cached."""
     first, *rest = text.split(" ")
     parts = list(map(cache.__getitem__, rest))
     if None in parts:  # runs of white space: their pieces depend on what follows
@@ -74,7 +96,7 @@ def _tokenize(path: str, end_id: int):
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        cache, squeeze = WordCache(load_encoder(path)), zstandard.ZstdCompressor(level=1)
+        cache, squeeze = WordCache(load_encoder(path), added_tokens(path)), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = [encode_text(t or "", cache) + end for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(

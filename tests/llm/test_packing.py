@@ -82,6 +82,19 @@ def test_cached_words_are_exact(tokenizer):
         assert np.frombuffer(P.encode_text(t, cache), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+ADDED = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x\n <|endoftext|> \n y", "a<|endoftext|>b  <|endoftext|>", "<|endoftext|", "<<|endoftext|>>", "x  <|endoftext|>  y", "<|ENDOFTEXT|> é<|endoftext|>日本"]
+
+
+def test_added_tokens_are_exact(spark, tokenizer):
+    """An added token inside a text keeps its own id, as the tokenizer has it."""
+    assert 50256 in tokenizer.encode(ADDED[0], add_special_tokens=False).ids
+    cache = P.WordCache(P.load_encoder(tokenizer_path()), P.added_tokens(tokenizer_path()))
+    for t in ADDED:
+        assert np.frombuffer(P.encode_text(t, cache), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(ADDED)], "doc_id long, text string, source string")
+    check(P.pack(df, tokenizer_path()).collect(), dict(enumerate(ADDED)), tokenizer)
+
+
 def test_tail():
     assert P.tail_cuts(0) == [] and P.tail_cuts(700) == [512, 128, 32, 16, 8, 4]
 
