@@ -24,7 +24,7 @@ from .store import keep, small_batches, without
 from .textkit import U, band_keys, char_shingles, chunks, one_permutation, signed
 from .verify import verified
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 9, 12, 4, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 28, 6, 0.8
 
 
 #: Unicode White_Space, as Java's (?U)\\s has it.

@@ -134,6 +134,22 @@ def test_lines_odd(spark, odd, empty):
     assert L.line_dedup(empty).count() == 0
 
 
+def test_short_near_lines(spark):
+    """Short lines that differ in one character, number or word are near copies; lines that share less are not."""
+    pairs = [
+        ("Copyright 2019 by the authors of this small example work", "Copyright 2018 by the authors of this small example work"),
+        ("Sign up for our weekly letter and never miss another story!", "Sign up for our weekly letter and never miss another story."),
+        ("Posted in general notes by the editor on page 17 of the third and last volume of the year", "Posted in general notes by the editor on page 23 of the third and last volume of the year"),
+        ("All opinions expressed in the comments below are those of their authors and do not reflect the views of the garden club", "All opinions expressed in the comments below are those of their authors and do not reflect the views of the sewing club"),
+    ]
+    apart = [("The first of these two lines is about cats and their long sleep", "The other of these lines has dogs that bark at night in the yard")]
+    df = spark.createDataFrame([(k, "\n".join(p[k] for p in pairs + apart)) for k in range(2)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in L.line_dedup(df).collect()}
+    assert got[0]["removed"] == [] and got[0]["n_kept"] == 5
+    assert [(x["line"], x["kept_doc"], x["kept_line"]) for x in got[1]["removed"]] == [(k, 0, k) for k in range(len(pairs))]
+    assert got[1]["text"] == apart[0][1]
+
+
 def test_line_recall():
     """Banding finds nearly all pairs at the threshold and above."""
     import random
