@@ -1,10 +1,11 @@
-"""Self-join on the Jaccard similarity of word n-grams: an LSH forest, then exact verification.
+"""Self-join on the Jaccard similarity of word n-grams: MinHash bands, then exact verification.
 
-Each of ``trees`` tries holds every different text under a label of ``depth`` MinHashes.
-Matches are sought at the full depth first and the prefix is shortened until the
-expected recall at the threshold, 1 - (1 - t**d) ** trees, reaches the target. Within a
-trie sorted by label, all texts that share a prefix stand in a row, so linking each to
-the one before it, if their common prefix is long enough, joins them all.
+This is banding of a fixed length, not a search from long prefixes to short ones: the
+longest prefix length d <= ``depth`` whose expected recall at the threshold,
+1 - (1 - t**d) ** trees, reaches the target is worked out beforehand (6 of 8 by
+default), and each of ``trees`` bands holds every different text under a label of d
+MinHashes. Linking each text to the one before it of the same band and label joins all
+that share the label.
 
 Union-find over those links gives candidate groups, and inside them *all* pairs are
 verified exactly (``verify``), so groups found through different tries or prefixes lose
@@ -100,7 +101,7 @@ def shingle_sets(size: int):
 
 
 def forest_links(labels: DataFrame) -> DataFrame:
-    """Edges between neighbours in a trie's order that share the whole (shortened) label."""
+    """Edges between neighbours of a band that share the whole label."""
     order = Window.partitionBy("tree", "label").orderBy("id")
     return contract(labels.withColumn("b", F.lag("id").over(order)).filter("b is not null and b <> id").select(F.col("id").alias("a"), "b"))
 
