@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ class Forest:
 
 #: Nodes that a task's union-find holds before it gives its stars out and starts anew.
 HELD = 500_000
+#: Parts that the rows of a hub are dealt to.
+SPREAD = 16
 
 
 def _local(batches):
@@ -50,64 +51,38 @@ def _local(batches):
     yield stars()
 
 
-def _neighbours(batches):
-    """Links between rows (key, id) that follow each other with equal keys, as edges."""
-    key = last = None
-    for batch in batches:
-        k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        if not len(k):
-            continue
-        same = np.flatnonzero((k[1:] == k[:-1]) & (i[1:] != i[:-1]))
-        a, b = i[same + 1], i[same]
-        if key == k[0] and last != i[0]:
-            a, b = np.append(a, i[0]), np.append(b, last)
-        key, last = k[-1], i[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def chain(rows: DataFrame) -> DataFrame:
-    """Edges that join all ids of a key, from rows (key, id): each to the one before it in sorted order.
-
-    A key of any number of rows streams through its sort; no task holds a key's rows.
-    """
-    laid = rows.repartition("key").sortWithinPartitions("key", "id")
-    return laid.mapInArrow(lambda batches: _local(_neighbours(batches)), "a long, b long")
-
-
 def contract(edges: DataFrame) -> DataFrame:
-    """The edges (a, b) of each partition as stars: fewer rows, the same components."""
+    """The edges (a, b) of each partition as stars (a, b), a > b: fewer rows, the same components."""
     return edges.select("a", "b").mapInArrow(_local, "a long, b long")
 
 
-#: Edges (stars that tasks have already contracted) that one task may hold: fewer than these are finished in one.
-LOCAL = 200_000
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key: the rows of each key are dealt to ``SPREAD`` parts by a hash of ``by``."""
+    dealt = left.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    return dealt.join(right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [*on, "__part"], how).drop("__part")
+
+
+def disjoint(stars: DataFrame) -> bool:
+    """Whether every node stands in one star alone: no node has two centres, and no centre is a node of another star."""
+    return stars.groupBy("a").count().filter("count > 1").isEmpty() and stars.select("a").intersect(stars.select("b")).isEmpty()
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) for every node of the edges (a, b); a component is named by its least node.
 
-    Each task contracts its edges to stars; as long as more than ``LOCAL`` are left,
-    large-star and small-star rounds (Kiveris et al., 2014) run on tables. Each round's
-    minima are partial aggregates, so a node of very many edges is no bottleneck, and
-    the rounds needed grow with the logarithm of the nodes. What is left of few edges
-    is contracted by one task on an executor.
+    Each task contracts its edges to stars; large-star and small-star rounds (Kiveris et
+    al., 2014) run on tables until the stars are disjoint, which is tested on the rows
+    themselves. The rounds needed grow with the logarithm of the nodes. Rows that look up
+    the centre of a star, of which a hub has any number, are dealt to parts.
     """
-    now = keep(contract(edges.filter("a <> b")), name)
-    before = None
-    for _ in range(most_rounds):
-        n, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if n <= LOCAL:
-            now = keep(contract(now.coalesce(1)), name)
-            break
-        if (n, total) == before:
-            break
-        before = (n, total)
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("x")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
-        small = large.join(least, F.col("a") == F.col("x")).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(least.select("x", "m"))
-        now = keep(contract(small.distinct()), name)
-    else:
-        raise RuntimeError("components: no fixed point was reached")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct().union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    now = keep(contract(edges.filter("a <> b")).distinct(), name)
+    while not disjoint(now):
+        # large star: a node goes to the least node of the neighbourhood of each lower neighbour
+        least = now.union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        centres = keep(least.join(now.select("b").distinct(), "b", "left_semi"), f"{name}-centres")
+        large = keep(spread_join(now, centres, ["b"], "a").select("a", F.col("m").alias("b")).distinct(), f"{name}-large")
+        # small star: a node and its lower neighbours go to the least of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b")))
+        now = keep(contract(small).distinct(), name)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -1,13 +1,14 @@
 """Fuzzy deduplication of lines: character shingles, MinHash, banding, exact Jaccard, union-find.
 
-1. Each line's character shingles give a one-permutation MinHash signature; each task
-   emits the band keys of every different line once.
-2. Lines that follow each other in the sorted bucket of a band are candidates: a chain
-   links all of a bucket, however large, in one pass without holding it.
-3. Union-find over candidate links gives candidate groups; inside them all pairs are
-   verified on exact shingle sets (see ``verify``).
-4. Union-find over verified links, joined with exact copies, gives the classes. The
-   first line of each class, by document and line number, stays.
+1. Each line's character shingles give a one-permutation MinHash signature; its bands are
+   the keys of buckets. Buckets of several different lines are candidates.
+2. Inside each bucket lines are verified on exact shingle sets (see ``verify``); buckets
+   of the same lines are verified once.
+3. Distributed union-find over verified links, joined with exact copies, gives the
+   classes. The first line of each class, by document and line number, stays.
+
+A line is known by 128 bits of its bytes; bands carry the first 64 of them, which may
+only add candidates.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_contain
-from .components import chain, components
+from .components import components, spread_join
 from .store import keep, small_batches, without
-from .textkit import U, band_keys, char_shingles, chunks, one_permutation, signed
-from .verify import verified
+from .textkit import band_keys, char_shingles, chunks, one_permutation, signed
+from .verify import buckets, linked
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 5, 28, 6, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 14, 5, 0.8
+#: Lines that a task remembers to have seen; it forgets them all when there are more.
+SEEN = 200_000
 
 
 #: Unicode White_Space, as Java's (?U)\\s has it.
@@ -59,7 +62,7 @@ def _codes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bands(size: int, bands: int, rows: int):
     def run(batches):
-        seen: set[int] = set()  # lines of this task: a common line moves once a task, not once a copy
+        seen: set[int] = set()  # a common line of a task moves once, not once a copy
         for batch in batches:
             for i, j, b, off in chunks(batch.column(0)):
                 codes, at = _codes(b, off)
@@ -73,6 +76,8 @@ def _bands(size: int, bands: int, rows: int):
                             ends.append(lo + len(line))
                             keys.append(h)
                         lo += len(line) + 1
+                if len(seen) > SEEN:
+                    seen.clear()
                 if not keys:
                     continue
                 h, line = char_shingles(codes, np.array(starts), np.array(ends), size)
@@ -95,14 +100,15 @@ def shingle_sets(size: int):
 
 
 def _fetch(batches):
-    """(h1, line) of the wanted line numbers of each document."""
+    """(h1, h2, line) of the wanted line numbers of each document."""
     for batch in batches:
-        keys, lines = [], []
+        keys, more, lines = [], [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             all_lines = split_lines(text)
             keys += [w["h1"] for w in wanted]
+            more += [w["h2"] for w in wanted]
             lines += [all_lines[w["line"]] for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], ["h1", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(more, pa.int64()), pa.array(lines, pa.string())], ["h1", "h2", "line"])
 
 
 def _remaining():
@@ -142,26 +148,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "digest", "line")).alias("at"))
     first = keep(first, "first")
 
-    pairs = chain(some.select(text_col).mapInArrow(_bands(size, bands, rows), "key long, id long"))
-    near = keep(components(pairs, "near"), "candidates")
-    n_near = near.count()
-    where = near.join(first, F.col("id") == F.col("h1")).select("h1", "component", "at.doc", "at.digest", "at.line")
+    members = keep(buckets(some.select(text_col).mapInArrow(_bands(size, bands, rows), "key long, id long")), "buckets")
+    where = first.join(members.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select("h1", "h2", "at.doc", "at.digest", "at.line")
     where = keep(where, "where")
-    wanted = where.groupBy("doc", "digest").agg(F.collect_list(F.struct("h1", "line")).alias("wanted"))
-    holds = may_contain(where, n_near, "digest")
+    wanted = where.groupBy("doc", "digest").agg(F.collect_list(F.struct("h1", "h2", "line")).alias("wanted"))
+    holds = may_contain(where, where.count(), "digest")
     texts = some.filter(holds(F.col("__digest"))).select("__doc", "__digest", F.col(text_col).alias("__text")).join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__digest") == F.col("digest")))
-    texts = texts.select("__text", "wanted").mapInArrow(_fetch, "h1 long, line string").groupBy("h1").agg(F.min("line").alias("text"))
-    members = texts.join(where.select(F.col("h1").alias("id"), "component").distinct(), F.col("h1") == F.col("id")).select("id", "component", F.lit(1).cast("long").alias("weight"), "text")
-    edges = verified(members, shingle_sets(size), threshold).filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    classes = components(edges, "classes")
-
-    placed = first.join(classes, F.col("h1") == F.col("id"), "left").withColumn("class_id", F.coalesce("component", "h1"))
-    linked = F.col("component").isNotNull()
+    texts = texts.select("__text", "wanted").mapInArrow(_fetch, "h1 long, h2 long, line string").groupBy("h1", "h2").agg(F.min("line").alias("text"))
+    texts = keep(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # written: an id of 64 bits for each line of 128
+    nodes = texts.select("h1", "h2", F.col("id").alias("node"))
+    members = members.join(nodes, F.col("id") == F.col("h1")).select("bucket", "big", "block", F.col("node").alias("id"))
+    edges = linked(members, texts.select("id", "text"), shingle_sets(size), threshold, name="lines")
+    classes = components(edges.select("a", "b"), "classes").join(nodes, F.col("id") == F.col("node")).select("h1", "h2", "component")
+
+    placed = first.join(classes, ["h1", "h2"], "left")
     # classes of one line and no copy have nothing to remove
-    heads = placed.filter(linked).groupBy("component").agg(F.min("at").alias("head")).withColumnRenamed("component", "c")
-    heads = placed.filter(linked).join(heads, F.col("component") == F.col("c")).select("h1", "h2", "class_id", "head")
-    heads = heads.union(placed.filter(~linked & (F.col("n") > 1)).select("h1", "h2", "class_id", F.col("at").alias("head")))
-    gone = lines.join(heads, ["h1", "h2"]).filter(F.struct("doc", "digest", "line") != F.col("head"))
+    near = keep(placed.filter("component is not null"), "near")
+    heads = near.groupBy("component").agg(F.min("at").alias("head"), F.min("h1").alias("class_id"))
+    heads = spread_join(near.select("h1", "h2", "component"), heads, ["component"], "h1").select("h1", "h2", "class_id", "head")
+    heads = heads.union(placed.filter("component is null and n > 1").select("h1", "h2", F.col("h1").alias("class_id"), F.col("at").alias("head")))
+    # a line may stand in a third of all documents: its rows are dealt to parts
+    gone = spread_join(lines, heads, ["h1", "h2"], "doc").filter(F.struct("doc", "digest", "line") != F.col("head"))
     gone = gone.select("doc", "digest", F.struct("line", "class_id", F.col("head.doc").alias("kept_doc"), F.col("head.line").alias("kept_line")).alias("x"))
     again = some.groupBy("__doc", "__digest").count().filter("count > 1").select("__doc", "__digest", F.lit(None).cast(gone.schema["x"].dataType))
     gone = gone.union(again)

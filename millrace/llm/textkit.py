@@ -140,28 +140,32 @@ def minhash(hashes: np.ndarray, row: np.ndarray, rows: int, n: int) -> np.ndarra
     return out.T
 
 
+#: Bins that an empty bin asks in turn before it takes the row's least hash.
+TRIES = 32
+
+
 def one_permutation(hashes: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
     """One-permutation MinHash: the least hash of each of ``bins`` bins; an empty bin borrows from bins that its number alone picks."""
     none = U(0xFFFFFFFFFFFFFFFF)
     flat = np.full(rows * bins, none, U)
     bin_of = (((hashes >> U(40)) * U(bins)) >> U(24)).astype(np.int64)
     np.minimum.at(flat, row * bins + bin_of, hashes & U((1 << 40) - 1))
-    sig = flat.reshape(rows, bins)
-    empty = sig == none
-    todo = np.flatnonzero(empty.any(1) & ~empty.all(1))
-    if len(todo):
-        original, filled = sig[todo], sig[todo].copy()
-        for attempt in range(1, 65):
-            pick = (seeds(bins, attempt + 10) % U(bins)).astype(np.int64)
-            got = original[:, pick]
-            gap = (filled == none) & (got != none)
-            filled[gap] = (got + U(attempt << 41))[gap]
-            if not (filled == none).any():
-                break
-        gap = filled == none
-        filled[gap] = np.broadcast_to(original.min(1)[:, None], filled.shape)[gap]
-        sig[todo] = filled
-    return sig
+    original = flat.reshape(rows, bins)
+    gap = np.flatnonzero(flat == none)
+    gap = gap[(original != none).any(1)[gap // bins]]
+    sig = flat.copy()
+    for attempt in range(1, TRIES + 1):
+        if not len(gap):
+            break
+        pick = (seeds(bins, attempt + 10) % U(bins)).astype(np.int64)
+        r, c = np.divmod(gap, bins)
+        got = original[r, pick[c]]
+        ok = got != none
+        sig[gap[ok]] = got[ok] + U(attempt << 41)
+        gap = gap[~ok]
+    if len(gap):
+        sig[gap] = original.min(1)[gap // bins]
+    return sig.reshape(rows, bins)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:

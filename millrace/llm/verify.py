@@ -1,9 +1,16 @@
-"""Exact Jaccard similarity of all pairs inside candidate groups, in blocks, without emitting pairs.
+"""Exact Jaccard links inside buckets of candidates, without emitting pairs.
 
-A group larger than a block is cut into blocks by a hash; each pair of blocks is one
-unit of work, so a group of any size is spread over tasks and no unit holds more than
-two blocks. A unit gives, per member, how many others it is linked to (and their
-weight), and the edges of a spanning forest: at most its members less one.
+1. Buckets are read off sorted rows in one pass. A bucket of one member is nothing, and
+   buckets of the same members (as different bands give them) are verified once. A larger
+   bucket is cut into blocks in an order of its own, so that no task holds it.
+2. In each block a search from member to member compares exact shingle sets: whoever is
+   linked to a member already reached is compared no more. The blocks give the edges of
+   their verified components, fewer than they have members.
+3. Members of different blocks of one bucket are compared only where the verified
+   components differ: those outside the bucket's largest component against all others.
+
+So a bucket of true copies costs its size, however large; only members that are unlike
+each other and yet share a bucket are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -15,103 +22,260 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Forest
+from .components import Forest, components, spread_join
+from .store import keep
+from .textkit import U, mix, signed
 
+#: Members of a block.
 BLOCK = 256
-OUT = "id long, other long, links long, weight long"
-
-
-def units(members: DataFrame) -> DataFrame:
-    """``members`` (id, component, weight, text) once for each unit that needs them: adds i, j (block numbers) and block."""
-    sizes = members.groupBy("component").count().select(F.col("component").alias("c"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(sizes, F.col("component") == F.col("c")).withColumn("block", F.expr("cast(pmod(xxhash64(id, 5), blocks) as int)"))
-    each = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.select("id", "component", "weight", "text", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets of hashes."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1  # a value of one set alone adds nothing
-    column = np.cumsum(shared) - 1
-    on = shared[code]
-    owner, code = owner[on], column[code[on]]
-    out, order = np.zeros((n, n), np.float32), np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    width = 4096
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(code, [lo, lo + width])
-        m = np.zeros((n, width), np.float32)
-        m[owner[a:b], code[a:b] - lo] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
-
-
-def linked(sets: list[np.ndarray], threshold: float):
-    """Index pairs (a < b) of Jaccard similarity ``threshold`` or more; empty sets link to none."""
-    size = np.array([len(s) for s in sets])
-    if len(sets) <= 6:
-        for a in range(len(sets)):
-            for b in range(a + 1, len(sets)):
-                lo, hi = sorted((size[a], size[b]))
-                if lo and lo >= threshold * hi:
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if both >= threshold * (lo + hi - both) - 1e-9:
-                        yield np.array([a]), np.array([b])
-        return
-    both = intersections(sets)
-    union = size[:, None] + size[None, :] - both
-    yield np.nonzero(np.triu((both >= threshold * union - 1e-9) & (union > 0) & (both > 0), 1))
-
-
-def _verify(shingle: Callable, threshold: float):
-    """shingle: list of texts -> list of sorted unique hash arrays."""
-
-    def unit(ids, weights, blocks, i, j, sets):
+_SCHEMA = ["bucket", "big", "block", "id"]
+
+
+class Buckets:
+    """Reads rows (key, id) that stand in order of their keys, and gives (bucket, big, block, id); equal rows count once."""
+
+    def __init__(self, block: int):
+        self.block = block
+        self.k, self.i, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # the open bucket: what is held of it, and how many went out
+
+    @staticmethod
+    def _table(bucket, big, at, ids):
         n = len(ids)
-        links, weight = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        forest, edges = Forest(), []
-        for a, b in linked(sets, threshold):
-            if i != j:  # pairs inside a block belong to the unit of that block alone
-                across = blocks[a] != blocks[b]
-                a, b = a[across], b[across]
-            np.add.at(links, a, 1)
-            np.add.at(links, b, 1)
-            np.add.at(weight, a, weights[b])
-            np.add.at(weight, b, weights[a])
-            edges += [(int(ids[x]), int(ids[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)]
-        some = np.flatnonzero(links)
-        return [(int(ids[k]), None, int(links[k]), int(weight[k])) for k in some] + [(x, y, 0, 0) for x, y in edges]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.full(n, big)), pa.array(at, pa.int32()), pa.array(ids, pa.int64())], _SCHEMA)
 
-    def run(batches):
-        key, held, out = None, [], []
+    def _whole(self, i, first, size):
+        """Buckets of two members to ``block``, named by what is in them."""
+        some = (size > 1) & (size <= self.block)
+        if some.any():
+            h = mix(i.view(U) ^ U(0x5DEECE66D))
+            name = signed(mix(np.add.reduceat(h, first) * U(3) + size.astype(U)))
+            on = np.repeat(some, size)
+            yield self._table(np.repeat(name[some], size[some]), False, np.zeros(int(on.sum()), np.int32), i[on])
+
+    def _large(self, key, i, at):
+        name = signed(mix(np.array([key]).view(U) + U(11)))[0]
+        yield self._table(np.full(len(i), name), True, ((at + np.arange(len(i))) // self.block).astype(np.int32), i)
 
-        def close():
-            ids, weights, texts, blocks = map(list, zip(*held, strict=True))
-            return unit(np.array(ids, np.int64), np.array(weights, np.int64), np.array(blocks), key[1], key[2], shingle(texts)) if len(ids) > 1 else []
+    def push(self, keys: np.ndarray, ids: np.ndarray):
+        k, i, at = np.concatenate((self.k, keys)), np.concatenate((self.i, ids)), self.at
+        if len(k):
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+            k, i = k[new], i[new]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            if at and len(first) > 1:  # the large bucket of the rows before ends here
+                yield from self._large(k[0], i[: first[1]], at)
+                k, i, at, first = k[first[1] :], i[first[1] :], 0, first[1:] - first[1]
+            last = first[-1]
+            if last:
+                size = np.diff(np.append(first[:-1], last))
+                yield from self._whole(i[:last], first[:-1], size)
+                for f, n in zip(first[:-1][size > self.block].tolist(), size[size > self.block].tolist(), strict=True):
+                    yield from self._large(k[f], i[f : f + n], 0)
+                k, i = k[last:], i[last:]
+            out = (len(i) - 1) // self.block * self.block if at or len(i) > self.block else 0  # one row stays, to tell repeats
+            if out:
+                yield from self._large(k[0], i[:out], at)
+                k, i, at = k[out:], i[out:], at + out
+        self.k, self.i, self.at = k, i, at
 
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["id", "other", "links", "weight"])
+    def close(self):
+        if self.at or len(self.i) > self.block:
+            yield from self._large(self.k[0], self.i, self.at)
+        elif len(self.i):
+            yield from self._whole(self.i, np.zeros(1, np.int64), np.array([len(self.i)]))
 
+
+def _read(block: int):
+    def run(batches):
+        reader = Buckets(block)
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            for k, one in enumerate(zip(c["component"], c["i"], c["j"], strict=True)):
-                if one != key:
-                    out += close() if held else []
-                    key, held = one, []
-                held.append((c["id"][k], c["weight"][k], c["text"][k], c["block"][k]))
+            yield from reader.push(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+        yield from reader.close()
+
+    return run
+
+
+def buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, big, block, id): the buckets of two or more different ids, from rows (key, id).
+
+    A bucket of any number of rows streams through the sort of its partition. One of more
+    than ``block`` members is ``big`` and cut into blocks, in an order that differs from
+    bucket to bucket.
+    """
+    laid = rows.select("key", "id").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "id"), "id")
+    return laid.mapInArrow(_read(block), "bucket long, big boolean, block int, id long").distinct()
+
+
+class Sets:
+    """Sorted sets of hashes; overlaps of one with all that are left."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+        self.mark = np.zeros(int(self.codes.max(initial=-1)) + 1, bool)
+        self.ends = np.cumsum(self.size)
+        self.use(np.flatnonzero(self.size > 0))
+
+    def own(self, x: int) -> np.ndarray:
+        return self.codes[self.ends[x] - self.size[x] : self.ends[x]]
+
+    def use(self, left: np.ndarray) -> None:
+        """Compare with these members from now on."""
+        self.left = left
+        self.flat = np.concatenate([self.own(x) for x in left.tolist()]) if len(left) else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.size[left]) - self.size[left]
+
+    def like(self, x: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the members in use that are linked to ``x``, and the similarities."""
+        if not len(self.left) or not self.size[x]:
+            return np.zeros(0, np.int64), np.zeros(0)
+        self.mark[self.own(x)] = True
+        both = np.add.reduceat(self.mark[self.flat], self.first, dtype=np.int64)
+        self.mark[self.own(x)] = False
+        union = self.size[x] + self.size[self.left] - both
+        ok = (both >= threshold * union - 1e-9) & (both > 0)
+        return self.left[ok], both[ok] / union[ok]
+
+
+def tree(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
+    """Edges (a, b, similarity) of a spanning forest of the links between the sets; empty sets link to none."""
+    all_, out, queue = Sets(sets), [], []
+    waits = all_.size > 0
+    while waits.any():
+        x = queue.pop() if queue else int(np.argmax(waits))
+        waits[x] = False
+        found, s = all_.like(x, threshold)
+        fresh = waits[found]
+        out += [(x, y, j) for y, j in zip(found[fresh].tolist(), s[fresh].tolist(), strict=True)]
+        queue += found[fresh].tolist()
+        waits[found] = False
+        if 2 * int(waits.sum()) <= len(all_.left):
+            all_.use(np.flatnonzero(waits))
+    return out
+
+
+def _grouped(batches, keys: int):
+    """(key values, rows) for each run of rows with equal values in the first ``keys`` columns."""
+    key, held = None, []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for row in zip(*columns, strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield key, held
+
+
+def _edges(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+
+def _in_blocks(shingle: Callable, threshold: float):
+    def run(batches):
+        out = []
+        for _, rows in _grouped(batches, 2):
+            if len(rows) > 1:
+                out += [(rows[x][0], rows[y][0], s) for x, y, s in tree(shingle([r[1] for r in rows]), threshold)]
+            if len(out) > 20_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return run
+
+
+def _across(shingle: Callable, threshold: float):
+    """Links between a block of all members (side 0) and one of those outside the largest component (side 1)."""
+
+    def run(batches):
+        out = []
+        for _, rows in _grouped(batches, 3):
+            sets, forest = Sets(shingle([r[3] for r in rows])), Forest()
+            side = np.array([r[0] for r in rows])
+            if side.all() or not side.any():
+                continue
+            sets.use(np.flatnonzero((side == 0) & (sets.size > 0)))
+            for x in np.flatnonzero(side == 1).tolist():
+                for y, s in zip(*(v.tolist() for v in sets.like(x, threshold)), strict=True):
+                    if forest.join(rows[x][1], rows[y][1]):
+                        out.append((rows[x][2], rows[y][2], s))
             if len(out) > 20_000:
-                yield table(out)
+                yield _edges(out)
                 out = []
-        out += close() if held else []
-        yield table(out)
+        yield _edges(out)
 
     return run
 
 
-def verified(members: DataFrame, shingle: Callable, threshold: float) -> DataFrame:
-    """Rows with links (id, null, links, weight of the linked) and forest edges (id, other, 0, 0) of all units."""
-    laid = units(members).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return laid.mapInArrow(_verify(shingle, threshold), OUT)
+def linked(members: DataFrame, texts: DataFrame, shingle: Callable, threshold: float, block: int = BLOCK, name: str = "links") -> DataFrame:
+    """Edges (a, b, similarity) that join whatever members of one bucket are linked, directly or through other members.
+
+    ``members``: (bucket, big, block, id) as ``buckets`` gives them, with ids that occur
+    once in ``texts`` (id, text). ``shingle``: texts -> sorted unique shingle hashes.
+    """
+    laid = members.join(texts, "id").select("bucket", "block", "id", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    edges = keep(laid.mapInArrow(_in_blocks(shingle, threshold), "a long, b long, similarity double"), name)
+    big = members.filter("big")
+    if big.isEmpty():
+        return edges
+    found = components(edges, name).withColumnRenamed("component", "group")
+    big = keep(big.select("bucket", "id").join(found, "id", "left").withColumn("group", F.coalesce("group", "id")), f"{name}-big")
+    sizes = big.groupBy("bucket", "group").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "group")).alias("most"))
+    sizes = keep(sizes.filter(F.col("n") > F.col("most.count")).select("bucket", F.col("most.group").alias("most"), F.ceil(F.col("n") / block).alias("all_blocks"), F.ceil((F.col("n") - F.col("most.count")) / block).alias("other_blocks")), f"{name}-mixed")
+    if sizes.isEmpty():
+        return edges
+    part = spread_join(big, sizes, ["bucket"], "id")
+    h = F.xxhash64("id", F.lit(5))
+    every = part.withColumn("i", F.pmod(h, "all_blocks")).withColumn("j", F.explode(F.expr("sequence(0L, other_blocks - 1)"))).withColumn("side", F.lit(0))
+    other = part.filter(F.col("group") != F.col("most")).withColumn("j", F.pmod(h, "other_blocks")).withColumn("i", F.explode(F.expr("sequence(0L, all_blocks - 1)"))).withColumn("side", F.lit(1))
+    both = every.unionByName(other).join(texts, "id").select("bucket", "i", "j", "side", "group", "id", "text")
+    laid = both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = keep(laid.mapInArrow(_across(shingle, threshold), "a long, b long, similarity double"), f"{name}-across")
+    return edges.union(more)
+
+
+def _count(shingle: Callable, threshold: float):
+    def run(batches):
+        out = []
+        for (_, i, j), rows in _grouped(batches, 3):
+            weight, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            sets = Sets(shingle([r[3] for r in rows]))
+            links, heavy = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            if i != j:
+                sets.use(np.flatnonzero(block == i))
+            for x in np.flatnonzero(block == j).tolist():
+                got = sets.like(x, threshold)[0]
+                got = got[got < x] if i == j else got
+                links[got] += 1
+                heavy[got] += weight[x]
+                links[x] += len(got)
+                heavy[x] += int(weight[got].sum())
+            out += [(rows[k][0], int(links[k]), int(heavy[k])) for k in np.flatnonzero(links).tolist()]
+            if len(out) > 20_000:
+                yield _counts(out)
+                out = []
+        yield _counts(out)
+
+    def _counts(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["id", "links", "weight"])
+
+    return run
+
+
+def counted(classes: DataFrame, texts: DataFrame, shingle: Callable, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, links, weight): how many others of its class each id is linked to, and the sum of their weights.
+
+    ``classes``: (id, component, weight); ``texts``: (id, text), an id once. All pairs of a
+    class are compared, which is what counting its links takes: a class is cut into blocks,
+    and each pair of blocks is a unit of its own, so no task holds a class.
+    """
+    sizes = classes.groupBy("component").count().filter(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    cut = spread_join(classes, sizes, ["component"], "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = cut.select("id", "component", "weight", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    laid = each.join(texts, "id").select("component", "i", "j", "id", "weight", "block", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return laid.mapInArrow(_count(shingle, threshold), "id long, links long, weight long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
