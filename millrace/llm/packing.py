@@ -1,13 +1,14 @@
 """Mixture-controlled packing: deficit round-robin over source queues into fixed windows.
 
 1. Tokenize each document once, where it is read, and keep the ids (compressed) in the
-   shared folder.
-2. Deal documents to packing partitions by a hash, total the tokens of each (partition,
-   source), and take prefix sums over partitions: they give each partition the window
-   and offset at which it starts and the deficits that the partitions before it leave.
-3. In each partition, serve the source queues in quanta, always the queue with the
-   largest deficit against its target share, and cut at window edges. A partition goes
-   on in the window that the one before it left open.
+   shared folder, with the place of each document in its source's queue: tasks number the
+   tokens of each source, and prefix sums over tasks make the numbers global.
+2. ``Schedule``: a source earns its share of every token that is packed, and the source
+   that is owed most gives the next token. How many tokens of each source stand before any
+   position has a closed form, so each window's quotas, and the deficits that it leaves to
+   the next window or partition, are known without packing what comes before.
+3. Parts of consecutive windows are dealt to tasks; a document goes to the parts that its
+   tokens fall into. Each window takes its quotas from the queues.
 
 Only the very last window can be short. It is cut into sequences whose lengths are
 powers of two, so nothing is ever padded.
@@ -15,15 +16,14 @@ powers of two, so nothing is ever padded.
 
 from __future__ import annotations
 
-import base64
 import json
-import re
 import zlib
-from collections import deque
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,76 +32,74 @@ from .store import keep, small_batches
 WINDOW = 1024
 #: Entries of a worker's word cache; it starts anew when full.
 CACHE = 150_000
-#: A packing partition holds so many tokens at most (they bound a task's memory), and at least, so that there are partitions for all tasks.
-PART_MOST, PART_LEAST = 32_000_000, 200_000
+#: Windows of a part, which a task holds at a time: at most, and at least, so that there are parts for all tasks.
+PART_MOST, PART_LEAST = 2048, 64
 
 
 class WordCache(dict):
-    """Token ids (little-endian uint16) of a word with its leading space; b"" marks words that must not be cut out."""
+    """Token ids (little-endian uint16) of a word with its leading space; None for words that must not be cut out."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def __init__(self, encode, added: dict[str, int] | None = None):
         super().__init__()
-        self.encode = encode
-        self.added = {t: np.array([k], "<u2").tobytes() for t, k in (added or {}).items()}
-        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= CACHE:
             self.clear()
-        ids = None if not word or word[0].isspace() else np.asarray(self.encode(" " + word), "<u2").tobytes()
+        ids = None if not word or word[0].isspace() else self.encode(" " + word)
         if len(word) < 40:
             self[word] = ids
         return ids
 
 
-def load_encoder(path: str):
-    """The byte-level BPE of ``path``: a .tiktoken rank file, or a tokenizers .json whose rank file stands beside it."""
-    import public_tokenizers
-    import tiktoken
+_caches: dict[str, WordCache] = {}
 
-    ranks_path = path.removesuffix(".json") + ".tiktoken" if path.endswith(".json") else path
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-
-def added_tokens(path: str) -> dict[str, int]:
-    """Tokens that a tokenizers .json recognises in the text itself, before any splitting; a rank file has none."""
-    if not path.endswith(".json"):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        added = json.load(f)["added_tokens"]
-    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
-        raise ValueError("added tokens that take white space or need word edges are not supported")
-    return {t["content"]: t["id"] for t in added}
+def word_cache(path: str) -> WordCache:
+    """The cache of this worker, which lives as long as it does."""
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path]
 
 
 def encode_text(text: str, cache: WordCache) -> bytes:
-    """Ids of a text; added tokens stand for themselves, and what is between them is encoded apart."""
-    if cache.at_added is None or not cache.at_added.search(text):
-        return encode_plain(text, cache)
-    return b"".join(cache.added[t] if t in cache.added else encode_plain(t, cache) for t in cache.at_added.split(text))
-
+    """Ids of a text. The pattern always starts a piece at a space before a non-space, so words are encoded apart and cached.
 
-def encode_plain(text: str, cache: WordCache) -> bytes:
-    """Ids of a text without added tokens. The pattern always starts a piece at a space before a non-space, so words are encoded apart and cached."""
+    A text with an added token, which is recognised before any splitting, goes to the tokenizer whole.
+    """
+    if any(t in text for t in cache.added):
+        return cache.encode(text)
     first, *rest = text.split(" ")
     parts = list(map(cache.__getitem__, rest))
     if None in parts:  # runs of white space: their pieces depend on what follows
-        return np.asarray(cache.encode(text), "<u2").tobytes()
-    return np.asarray(cache.encode(first), "<u2").tobytes() + b"".join(parts)
+        return cache.encode(text)
+    return cache.encode(first) + b"".join(parts)
 
 
 def _tokenize(path: str, end_id: int):
+    """(task, at, doc_id, source, n, ids): ``at`` counts the tokens of the source in this task before the document."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        cache, squeeze = WordCache(load_encoder(path), added_tokens(path)), zstandard.ZstdCompressor(level=1)
+        cache, squeeze, task = word_cache(path), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        done: dict[str | None, int] = {}
         for batch in batches:
-            ids = [encode_text(t or "", cache) + end for t in batch.column(2).to_pylist()]
+            ids, at, n = [], [], []
+            for source, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = encode_text(t or "", cache) + end
+                ids.append(squeeze.compress(x))
+                n.append(len(x) // 2)
+                at.append(done.get(source, 0))
+                done[source] = at[-1] + n[-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())],
-                ["doc_id", "source", "n", "ids"],
+                [pa.array(np.full(len(n), task, np.int64)), pa.array(at, pa.int64()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["task", "at", "doc_id", "source", "n", "ids"]
             )
 
     return run
@@ -112,137 +110,174 @@ def tail_cuts(length: int) -> list[int]:
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
-def interleave(docs, shares: dict, deficits: dict, quantum: int):
-    """Deficit round-robin over [(key, source, n)]: yields (key, start, length) until every queue is empty.
+class Schedule:
+    """How many tokens of each source stand before a position.
 
-    Each source earns ``share`` tokens for every token that is packed; the queue that is
-    owed most is served up to ``quantum`` tokens, never past its document's end.
+    Token k of a source falls due at (k + 1/2) / share; tokens are packed in order of
+    their due times (ties: sources in order). At any position the count of a source with a
+    full queue is its share of the tokens packed, rounded; sources whose queue is empty
+    leave their part to the others. Sources of share 0 follow when all others are empty.
     """
-    queues: dict = {}
-    for key, source, n in docs:
-        queues.setdefault(source, deque()).append((key, n))
-    names = sorted(queues, key=lambda s: (s is None, s or ""))
-    owed = np.array([deficits.get(s, 0.0) for s in names])
-    share = np.array([shares.get(s, 0.0) for s in names])
-    done = np.zeros(len(names), np.int64)
-    live = np.ones(len(names), bool)
-    while live.any():
-        k = int(np.argmax(np.where(live, owed, -np.inf)))
-        key, n = queues[names[k]][0]
-        take = min(quantum, n - int(done[k]))
-        yield key, int(done[k]), take
-        owed += share * take
-        owed[k] -= take
-        done[k] += take
-        if done[k] == n:
-            queues[names[k]].popleft()
-            done[k] = 0
-            live[k] = bool(queues[names[k]])
-
-
-def _pack(window: int, quantum: int):
-    def emit(rows, plan):
-        """Pieces of one packing partition; rows: (doc_id, source, n, ids)."""
-        position, total, shares, deficits = plan
-        order = sorted(range(len(rows)), key=lambda i: (rows[i][4], rows[i][0] is None, rows[i][0] or 0))
-        whole = total // window * window
-        cuts = np.cumsum([whole, *tail_cuts(total - whole)])
-        opened, merged = {}, None
-        out = []
-        squeeze = zstandard.ZstdDecompressor()
-
-        def flush():
-            if merged is None:
-                return
-            i, start, length, at = merged
-            doc_id, _, n, ids, _ = rows[i]
-            if i not in opened:
-                opened[i] = memoryview(squeeze.decompress(ids))
-            data = np.frombuffer(opened[i], "<u2")[start : start + length].astype("<u4")
-            if at < whole:
-                sequence, offset = divmod(at, window)
-            else:
-                k = int(np.searchsorted(cuts, at, "right")) - 1
-                sequence, offset = whole // window + k, at - int(cuts[k])
-            out.append((doc_id, rows[i][1], start, length, zlib.crc32(data.tobytes()), n, sequence, offset))
-            if start + length == n:
-                del opened[i]
-
-        for i, start, take in interleave([(i, rows[i][1], rows[i][2]) for i in order], shares, deficits, quantum):
-            while take:
-                edge = (position // window + 1) * window if position < whole else int(cuts[np.searchsorted(cuts, position, "right")])
-                step = min(take, edge - position)
-                at_edge = position % window == 0 if position <= whole else position in cuts
-                if merged and merged[0] == i and merged[1] + merged[2] == start and not at_edge:
-                    merged = (i, merged[1], merged[2] + step, merged[3])
-                else:
-                    flush()
-                    merged = (i, start, step, position)
-                position, start, take = position + step, start + step, take - step
-                if len(out) >= 20_000:
-                    yield out
-                    out = []
-        flush()
-        yield out
-
-    names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64(), pa.string(), *[pa.int64()] * 6]
-
-    def table(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    def __init__(self, totals: list[int], shares: list[float]):
+        self.totals, share = np.array(totals, np.int64), np.array(shares, float)
+        self.total = int(self.totals.sum())
+        last = share <= 0
+        self.rate = np.where(last, self.totals / max(self.total, 1), share)
+        self.base = np.where(last, max((self.totals[~last] / share[~last]).max(initial=0), 0.0), 0.0)
+        ends = np.unique(np.concatenate((self.base, self.base + self.totals / self.rate)))
+        self.ends, self.flown = ends, np.clip((ends[:, None] - self.base) * self.rate, 0, self.totals).sum(1)
+
+    def _due(self, count: np.ndarray) -> np.ndarray:
+        """When the token after ``count`` falls due."""
+        return np.where(count < self.totals, self.base + (count + 0.5) / self.rate, np.inf)
+
+    def before(self, positions: np.ndarray) -> np.ndarray:
+        """An array (positions, sources) of tokens before each position."""
+        positions = np.asarray(positions, np.int64)
+        v = np.interp(positions, self.flown, self.ends)
+        count = np.clip(np.floor((v[:, None] - self.base) * self.rate + 0.5), 0, self.totals).astype(np.int64)
+        while True:  # from about the right time, token by token to the very position
+            gap = positions - count.sum(1)
+            due, ran = self._due(count), np.where(count > 0, self.base + (count - 0.5) / self.rate, -np.inf)
+            wrong = (gap == 0) & (ran.max(1) > due.min(1))
+            more, less = np.flatnonzero((gap > 0) | wrong), np.flatnonzero((gap < 0) | wrong)
+            if not len(more) and not len(less):
+                return count
+            add, drop = due[more].argmin(1), ran.shape[1] - 1 - ran[less][:, ::-1].argmax(1)
+            count[more, add] += 1
+            count[less, drop] -= 1
+
+    def part_of(self, source: np.ndarray, token: np.ndarray, length: int) -> np.ndarray:
+        """The part of ``length`` positions that a token of a source falls into."""
+        due = self.base[source] + (token + 0.5) / self.rate[source]
+        part = np.clip(np.interp(due, self.ends, self.flown) // length, 0, max(self.total - 1, 0) // length).astype(np.int64)
+        while True:
+            edges, inverse = np.unique(np.concatenate((part, part + 1)), return_inverse=True)
+            counts = self.before(np.minimum(edges * length, self.total))[inverse]
+            n = len(part)
+            low, high = counts[np.arange(n), source] > token, counts[np.arange(n, 2 * n), source] <= token
+            if not (low | high).any():
+                return part
+            part = part - low + high
+
+
+def _deal(plan: Schedule, places: dict, length: int):
+    """Rows (place, doc_id, n, ids, at, base) to rows (part, place, at, doc_id, source, n, start, length, ids), one a part that the document falls into."""
+    names = {k: s for s, k in places.items()}
+    fields = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches):
+        squeeze, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            source = np.array([places[s] for s in batch.column(1).to_pylist()], np.int64)
+            n, at, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4, 5))
+            at = at + base
+            if not len(n):
+                continue
+            first, last = plan.part_of(source, at, length), plan.part_of(source, at + n - 1, length)
+            out = []
+            for k, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                j, a, size, name = int(source[k]), int(at[k]), int(n[k]), names[int(source[k])]
+                if first[k] == last[k]:
+                    out.append((int(first[k]), j, a, doc, name, size, 0, size, ids))
+                    continue
+                data = open_.decompress(ids)
+                parts = np.arange(first[k], last[k] + 1)
+                cuts = np.clip(plan.before(np.minimum(np.append(parts, last[k] + 1) * length, plan.total))[:, j] - a, 0, size).tolist()
+                out += [(int(p), j, a + lo, doc, name, size, lo, hi - lo, squeeze.compress(data[2 * lo : 2 * hi])) for p, lo, hi in zip(parts.tolist(), cuts, cuts[1:]) if hi > lo]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(fields)], ["part", "place", "at", "doc_id", "source", "n", "start", "length", "ids"])
+
+    return run
+
+
+def _pack(plan: Schedule, window: int, length: int):
+    whole = plan.total // window
+    tail = np.cumsum([0, *tail_cuts(plan.total - whole * window)])
+
+    def pieces(part: int, rows: list):
+        """Pieces of one part; rows: (place, at, doc_id, source, n, start, length, ids) in order of place and at."""
+        begin, end = part * length, min((part + 1) * length, plan.total)
+        edges = np.append(np.arange(begin, end, window), end)
+        count = plan.before(edges)
+        took = np.diff(count, axis=0)
+        ahead = np.cumsum(took, axis=1) - took  # tokens of the sources before this one in the window
+        open_ = zstandard.ZstdDecompressor()
+        for j, own in groupby(rows, key=lambda r: r[0]):
+            own = list(own)
+            at = np.array([r[1] for r in own], np.int64)
+            cut = np.unique(np.concatenate((at, count[:, j])))
+            cut = cut[(cut >= at[0]) & (cut < at[-1] + own[-1][6])]
+            size = np.diff(np.append(cut, at[-1] + own[-1][6]))
+            row, w = np.searchsorted(at, cut, "right") - 1, np.searchsorted(count[:, j], cut, "right") - 1
+            offset = ahead[w, j] + cut - count[w, j]
+            data = memoryview(np.frombuffer(b"".join(open_.decompress(r[7]) for r in own), "<u2").astype("<u4").tobytes())
+            crc = [zlib.crc32(data[4 * lo : 4 * hi]) for lo, hi in zip((cut - at[0]).tolist(), (cut - at[0] + size).tolist(), strict=True)]
+            start = np.array([r[5] for r in own])[row] + cut - at[row]
+            out = [np.array([r[2] if r[2] is not None else 0 for r in own])[row], start, size, np.array(crc, np.int64), np.array([r[4] for r in own])[row], begin // window + w, offset]
+            short = np.flatnonzero(out[5] == whole)
+            if len(short):  # the last window: cut again at its powers of two
+                out = [np.delete(x, short) for x in out] if len(short) < len(cut) else [x[:0] for x in out]
+                for k in short.tolist():
+                    lo, hi = int(offset[k]), int(offset[k] + size[k])
+                    for c in np.unique(np.concatenate(([lo], tail[(tail > lo) & (tail < hi)]))).tolist():
+                        s = int(np.searchsorted(tail, c, "right")) - 1
+                        stop = min(hi, int(tail[s + 1]))
+                        a = int(cut[k] - at[0]) + c - lo
+                        new = (own[row[k]][2] or 0, int(start[k]) + c - lo, stop - c, zlib.crc32(data[4 * a : 4 * (a + stop - c)]), own[row[k]][4], whole + s, c - int(tail[s]))
+                        out = [np.append(x, v) for x, v in zip(out, new, strict=True)]
+                        row = np.append(row, row[k])
+                row = np.delete(row, short)
+            null = np.array([r[2] is None for r in own])[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0].astype(np.int64), mask=null), pa.array([own[0][3]] * len(row), pa.string()), *[pa.array(x.astype(np.int64)) for x in out[1:]]],
+                ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
     def run(batches):
-        part, rows, plan = None, [], None
+        part, rows = None, []
         for batch in batches:
-            column = {n: batch.column(n) for n in batch.schema.names}
-            each = zip(*(column[n].to_pylist() for n in ("part", "doc_id", "source", "n", "ids", "dealt")), strict=True)
-            for k, (p, *row) in enumerate(each):
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != part:
-                    yield from map(table, emit(rows, plan)) if rows else ()
-                    position, total, sources, shares, deficits = (column[n][k].as_py() for n in ("position", "total", "sources", "shares", "deficits"))
+                    yield from pieces(part, rows) if rows else ()
                     part, rows = p, []
-                    plan = position, total, dict(zip(sources, shares, strict=True)), dict(zip(sources, deficits, strict=True))
                 rows.append(row)
-        yield from map(table, emit(rows, plan)) if rows else ()
+        yield from pieces(part, rows) if rows else ()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, quantum: int = 256, end_id: int = 0, targets: dict | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, end_id: int = 0, targets: dict | None = None) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens.
 
     Returns one row a piece: doc_id, source, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. ``targets`` maps sources to shares; by default each source's
-    share of all tokens, the only one that lets every window hold it to the end. A
-    source whose queue in a partition is empty leaves its turn to the others, and the
-    deficit goes on to the next partition. Null or empty texts are their end id alone;
-    null sources form a queue of their own; rows that repeat are packed each time; an
-    empty table gives no piece. Further columns of ``docs`` are not read.
+    share of all tokens, the only one that lets every window hold it to the end. Each
+    window holds its target proportions to about a token; a source whose queue is empty
+    leaves its turn to the others. The counts of the sources, one row a source, come to
+    the driver. Null or empty texts are their end id alone; null sources form a queue of
+    their own; rows that repeat are packed each time; an empty table gives no piece. A
+    long text is cut over parts, so only its ids stand in one task. Further columns of
+    ``docs`` are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    ids = keep(thin.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, source string, n long, ids binary"), "ids")
-    total = ids.agg(F.sum("n")).first()[0] or 0
+    ids = keep(thin.mapInArrow(_tokenize(tokenizer, end_id), "task long, at long, doc_id long, source string, n long, ids binary"), "ids")
+    per_task = ids.groupBy("task", "source").agg(F.sum("n").alias("n"))
+    totals = sorted(((r["source"], r["n"]) for r in per_task.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    total = sum(n for _, n in totals)
+    mass = float(sum(targets.values())) if targets else 1.0
+    plan = Schedule([n for _, n in totals], [targets.get(s, 0.0) / mass if targets else n / total for s, n in totals])
+    places = {s: k for k, (s, _) in enumerate(totals)}
+
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-total // PART_MOST), min(4 * lanes, -(-total // PART_LEAST)))
-    dealt = ids.withColumn("dealt", F.xxhash64("doc_id", "ids")).withColumn("part", F.pmod("dealt", F.lit(parts)))
-
-    by_source = dealt.groupBy("source").agg(F.sum("n").alias("source_n")).withColumn("share", F.col("source_n") / total)
-    if targets is not None:
-        mass = float(sum(targets.values()))
-        pairs = spark.createDataFrame([(k, v / mass) for k, v in targets.items()], "source string, wanted double")
-        by_source = by_source.join(F.broadcast(pairs), "source", "left").withColumn("share", F.coalesce("wanted", F.lit(0.0))).drop("wanted")
-    counts = dealt.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    every = keep(counts.groupBy("part").agg(F.sum("n").alias("part_n")), "parts")
-    starts = every.withColumn("position", F.sum("part_n").over(Window.orderBy("part")) - F.col("part_n"))  # one row a partition
-    before = Window.partitionBy("source").orderBy("part")
-    per = (
-        counts.join(starts.select("part", "position"), "part")
-        .join(by_source.select(F.col("source").alias("s"), "share"), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("deficit", F.col("share") * F.col("position") - (F.sum("n").over(before) - F.col("n")))
-    )
-    plan = per.groupBy("part", "position").agg(F.collect_list(F.struct("source", "share", "deficit")).alias("q"))
-    plan = plan.select("part", "position", F.lit(total).cast("long").alias("total"), F.col("q.source").alias("sources"), F.col("q.share").alias("shares"), F.col("q.deficit").alias("deficits"))
-    laid = dealt.repartition(min(parts, max(lanes, parts // 16)), "part").join(plan, "part").sortWithinPartitions("part")
-    return laid.mapInArrow(_pack(window, quantum), "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    windows = -(-total // window)
+    length = window * max(PART_LEAST, min(PART_MOST, -(-windows // (4 * lanes))))
+    parts = max(1, -(-total // length))
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_task.select(F.col("task").alias("t"), F.col("source").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = ids.join(base, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n", "ids", "at", "base")
+    dealt = placed.mapInArrow(_deal(plan, places, length), "part long, place int, at long, doc_id long, source string, n long, start long, length long, ids binary")
+    laid = dealt.repartition(min(parts, max(lanes, parts // 8)), "part").sortWithinPartitions("part", "place", "at")
+    return laid.mapInArrow(_pack(plan, window, length), "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
