@@ -128,15 +128,18 @@ def _nodes(depth: int, least: int, block: int):
     return run
 
 
-def shingle_sets(size: int):
-    def sets(texts):
-        out = []
-        for _, _, b, off in chunks(pa.array(texts, pa.string())):
+def shingles_of(size: int):
+    """Texts -> (shingle hashes, the number of the text of each)."""
+
+    def flat(texts):
+        hashes, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for i, _, b, off in chunks(pa.array(texts, pa.string())):
             h, row, _ = _shingles(b, off, size)
-            out += [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(off) - 1)))]
-        return out
+            hashes.append(h)
+            rows.append(row + i)
+        return np.concatenate(hashes), np.concatenate(rows)
 
-    return sets
+    return flat
 
 
 def forest(texts: DataFrame, size: int, trees: int, depth: int, least: int, block: int = BLOCK) -> DataFrame:
@@ -186,12 +189,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = None
     for prefix in range(depth, least - 1, -1):
         members = nodes.filter(F.col("level") == prefix).join(known, F.col("id") == F.col("h1")).select("bucket", "big", "block", F.col("node").alias("id"))
-        more = linked(members, store.select("id", "text"), shingle_sets(size), threshold, name=f"links-{prefix}")
+        more = linked(members, store.select("id", "text"), shingles_of(size), threshold, name=f"links-{prefix}")
         edges = more if edges is None else edges.union(more)
         if estimated_recall(edges, prefix, trees) >= recall:
             break
     classes = keep(components(edges.select("a", "b"), "classes").join(known, F.col("id") == F.col("node")).join(where, ["h1", "h2"]).select("id", "component", F.col("n").alias("weight"), "h1", "h2", "least"), "classes")
-    links = counted(classes.select("id", "component", "weight"), store.select("id", "text"), shingle_sets(size), threshold)
+    links = counted(classes.select("id", "component", "weight"), store.select("id", "text"), shingles_of(size), threshold)
 
     heads = classes.groupBy("component").agg(F.min(F.struct("least.doc", "least.digest", "h1", "h2")).alias("head"))
     near = spread_join(classes, heads, ["component"], "id").join(links.withColumnRenamed("weight", "others"), "id", "left").select("h1", "h2", "links", "others", "head")

@@ -1,8 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
 One Bloom filter serves all languages: each of its slots is a bit mask with one bit a
-language (the filters of all languages, sliced by bit). The AND of an n-gram's slots is
-the set of languages that contain it, read with as many lookups as there are hash
+language (the filters of all languages, sliced by bit; 64 languages a word of the mask).
+Every n-gram of the training documents of a language sets its bit. The AND of an n-gram's
+slots is the set of languages that contain it, read with as many lookups as there are hash
 functions, however many languages there are. For a text, the bits are counted per
 language, the hits that the filter's false positives explain are taken off, and the
 largest count decides.
@@ -23,11 +24,13 @@ from .textkit import BASE, U, chunks, mix, powers
 #: Lengths of character n-grams; words are padded with one space on either side.
 SIZES = (2, 3, 4)
 HASHES = 2
+#: Slots of the filter, as a power of two.
+BITS = 21
 
 
 @dataclass
 class LanguageFilter:
-    """slots: bit masks; languages: names by bit; false_rate: share of foreign n-grams that each language's bits let pass."""
+    """slots: a row of mask words a slot; languages: names by bit; false_rate: share of foreign n-grams that each language's bits let pass; default: the language of most training documents."""
 
     slots: np.ndarray
     languages: list[str]
@@ -94,59 +97,62 @@ def slots_of(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> U(bits * k) & U((1 << bits) - 1)).astype(np.int64) for k in range(HASHES)]
 
 
-def _count(batches):
-    """(lang, gram, documents that have it, documents) partial counts; gram null counts documents."""
-    for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        for i, j, b, off in chunks(batch.column(1)):
-            h, row, _ = grams(b, off)
-            names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
-            # once a document
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, lang = h[new], code[row[new]]
-            order = np.lexsort((lang, h))
-            h, lang = h[order], lang[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (lang[1:] != lang[:-1])))) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(h)))
-            docs = np.bincount(code, minlength=len(names))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((names[lang[first]], names)), pa.string()), pa.array(np.concatenate((h[first], np.zeros(len(names), U))).view(np.int64)), pa.array(np.concatenate((n, docs)).astype(np.int64))],
-                ["lang", "gram", "n"],
-            )
-
-
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, most_grams: int = 30_000, bits: int = 20) -> LanguageFilter:
+def _spots(bits: int):
+    """(slot, word, mask) from rows (bit number of the language, text): what the n-grams of each language set, once a chunk."""
+
+    def run(batches):
+        for batch in batches:
+            lang = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j, b, off in chunks(batch.column(1)):
+                h, row, _ = grams(b, off)
+                mine, k = np.unique(lang[i:j], return_inverse=True)
+                spots = np.unique(np.concatenate([s * len(mine) + k[row] for s in slots_of(h, bits)]))
+                slot, bit = spots // len(mine), mine[spots % len(mine)]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((bit // 64).astype(np.int32)), pa.array((U(1) << (bit % 64).astype(U)).view(np.int64))], ["slot", "word", "mask"])
+
+    return run
+
+
+#: Parts of a language in which the least hashes are found first.
+PARTS = 64
+
+
+def picked(texts: DataFrame, per_language: int) -> DataFrame:
+    """(lang, h) of the ``per_language`` different texts of each language that hash lowest.
+
+    The least of each of ``PARTS`` parts of a language are found first, so no task ranks
+    all rows of one.
+    """
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h")
+    some = texts.select("lang", "h").distinct().withColumn("k", F.row_number().over(part)).filter(F.col("k") <= per_language).drop("k")
+    return some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_language).drop("k")
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, bits: int = BITS) -> LanguageFilter:
     """Fit the filter on at most ``per_language`` labelled documents of each language, picked by a hash of their text.
 
-    An n-gram belongs to a language if at least 1% of its documents (and two) have it and
-    that share is over a third of the share in the language where it is most frequent;
-    the ``most_grams`` most frequent of each language are inserted. Rows with a null text
-    or language teach nothing. There may be 64 languages at most.
+    All n-grams of the picked documents are inserted. Languages are as many as the labels
+    name; the filter has ``2**bits`` slots of one bit a language. Rows with a null text or
+    language teach nothing.
     """
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     texts = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text", F.lit(7)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = texts.select("lang", "h").distinct().withColumn("k", rank).filter(F.col("k") <= per_language).drop("k")
-    # at most 64 * per_language rows are broadcast; copies of a picked text collapse before they move
-    some = texts.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    counts = keep(some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    docs = counts.filter("gram = 0").select("lang", F.col("n").alias("docs"))
-    share = counts.filter("gram <> 0").join(F.broadcast(docs), "lang").withColumn("share", F.col("n") / F.col("docs"))
-    share = share.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).filter("n >= 2 and share >= 0.01 and 3 * share > top")
-    ranked = share.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).filter(F.col("k") <= most_grams)
-    names = [(r["lang"], r["docs"]) for r in docs.orderBy("lang").collect()]
-    if len(names) > 64:
-        raise ValueError("a filter holds 64 languages at most")
+    chosen = keep(picked(texts, per_language), "picked")
+    names = [(r["lang"], r["count"]) for r in chosen.groupBy("lang").count().orderBy("lang").collect()]  # one row a language
     languages = [n for n, _ in names]
-    slots = np.zeros(1 << bits, np.uint8 if len(names) <= 8 else U)
-    bit = {n: slots.dtype.type(1 << k) for k, n in enumerate(languages)}
-    for lang, h in ((r["lang"], np.array(r["g"], np.int64).view(U)) for r in ranked.groupBy("lang").agg(F.collect_list("gram").alias("g")).orderBy("lang").toLocalIterator()):
-        for s in slots_of(h, bits):
-            slots[s] |= bit[lang]
-    filled = np.array([(slots & bit[n] != 0).mean() for n in languages]) if languages else np.zeros(0)
+    words = max(1, -(-len(names) // 64))
+    slots = np.zeros((1 << bits, words), U)
+    if names:
+        bit = spark.createDataFrame(list(zip(languages, range(len(names)))), "lang string, bit long")
+        # copies of a picked text collapse before they move
+        some = texts.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).join(bit, "lang")
+        spots = some.select("bit", "text").mapInArrow(_spots(bits), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+        spots = spots.toPandas()  # the filter: at most one row a slot and mask word, whatever the corpus
+        slots[spots["slot"].to_numpy(np.int64), spots["word"].to_numpy(np.int64)] = spots["mask"].to_numpy(np.int64).view(U)
+    filled = np.array([(slots[:, k // 64] >> U(k % 64) & U(1)).mean() for k in range(len(names))])
+    if len(names) <= 8:
+        slots = slots.astype(np.uint8)  # one byte a slot will do
     return LanguageFilter(slots, languages, filled**HASHES, min(names, key=lambda x: (-x[1], x[0]))[0] if names else None)
 
 
@@ -154,34 +160,43 @@ def classify(b: np.ndarray, off: np.ndarray, model: LanguageFilter) -> tuple[lis
     """Languages and scores of a chunk's rows."""
     rows, bits = len(off) - 1, int(len(model.slots)).bit_length() - 1
     h, row, letters = grams(b, off)
-    mask = None
-    for s in slots_of(h, bits):
-        mask = model.slots[s] if mask is None else mask & model.slots[s]
     n = np.bincount(row, minlength=rows)[:rows].astype(float)
-    hits = np.stack([np.bincount(row[(mask >> mask.dtype.type(k) & mask.dtype.type(1)) != 0], minlength=rows)[:rows] for k in range(len(model.languages))], 1) if model.languages else np.zeros((rows, 0))
-    net = np.maximum(0, (hits - n[:, None] * model.false_rate) / (1 - model.false_rate)) if model.languages else hits
+    net = np.zeros((rows, len(model.languages)))
+    for word in range(model.slots.shape[1]):
+        mask = None
+        for s in slots_of(h, bits):
+            found = model.slots[s, word]
+            mask = found if mask is None else mask & found
+        for k in range(64 * word, min(64 * word + 64, len(model.languages))):
+            bit = mask.dtype.type(1 << k % 64)
+            net[:, k] = np.bincount(row[(mask & bit) != 0], minlength=rows)[:rows]
+    # a foreign n-gram passes at the filter's false rate; where every slot is taken nothing can be told apart
+    net = np.maximum(0, (net - n[:, None] * model.false_rate) / np.maximum(1 - model.false_rate, 1e-9))
     lang, score = [], np.zeros(rows)
     for k in range(rows):
         if not letters[k] or not model.languages:
             lang.append("und")
-        elif not net[k].any():
-            lang.append(model.default)
-        else:
-            best = int(np.argmax(net[k]))
-            lang.append(model.languages[best])
-            score[k] = min(1.0, net[k][best] / max(n[k], 1))
+            continue
+        top = float(net[k].max())
+        best = int(np.argmax(net[k]))
+        if not top or (model.default and net[k][model.languages.index(model.default)] == top):
+            best = model.languages.index(model.default)
+        lang.append(model.languages[best])
+        score[k] = min(1.0, top / max(n[k], 1))
     return lang, score
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1, the share of n-grams that the language contains, corrected).
 
-    ``und`` and 0 if the text is null or has no letter; a text with letters of which no
-    n-gram is known gets the language with most training documents, and 0. Columns of
-    these names in ``docs`` are replaced.
+    ``und`` and 0 if the text is null or has no letter, or if the filter knows no language
+    at all. Ties, and a text of which no n-gram is known (score 0), go to the language with
+    most training documents if it is among them, else to the first by name. Rows are judged
+    one by one, so repeated rows agree; a long text takes some 60 times its bytes of memory.
+    Columns of these names in ``docs`` are replaced; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 1 or 8 MB, fixed
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for 8 languages, 16 MB for each 64: a byte or a word a slot
 
     @F.pandas_udf("lang string, score double")
     def label(texts):

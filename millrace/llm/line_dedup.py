@@ -25,7 +25,7 @@ from .store import keep, small_batches, without
 from .textkit import band_keys, char_shingles, chunks, one_permutation, signed
 from .verify import buckets, linked
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 5, 14, 5, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 16, 6, 0.8
 #: Lines that a task remembers to have seen; it forgets them all when there are more.
 SEEN = 200_000
 
@@ -87,16 +87,15 @@ def _bands(size: int, bands: int, rows: int):
     return run
 
 
-def shingle_sets(size: int):
-    """Texts -> sorted unique shingle hashes of each."""
+def shingles_of(size: int):
+    """Texts -> (shingle hashes, the number of the text of each)."""
 
-    def sets(texts: list[str]) -> list[np.ndarray]:
+    def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
         ends = np.cumsum([len(t) for t in texts])
-        h, row = char_shingles(codes, ends - [len(t) for t in texts], ends, size)
-        return [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(texts))))]
+        return char_shingles(codes, ends - [len(t) for t in texts], ends, size)
 
-    return sets
+    return flat
 
 
 def _fetch(batches):
@@ -145,12 +144,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__digest", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     some = docs.filter(F.length(text_col) > 0)
     lines = keep(some.select("__doc", "__digest", text_col).mapInArrow(_occurrences, "h1 long, h2 long, doc long, digest long, line long"), "lines")
-    first = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "digest", "line")).alias("at"))
-    first = keep(first, "first")
-
     members = keep(buckets(some.select(text_col).mapInArrow(_bands(size, bands, rows), "key long, id long")), "buckets")
-    where = first.join(members.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select("h1", "h2", "at.doc", "at.digest", "at.line")
-    where = keep(where, "where")
+
+    # one place of each candidate line, from which its text is fetched once
+    ids = members.select(F.col("id").alias("h1")).distinct()
+    holds = may_contain(ids, ids.count(), "h1")
+    where = lines.filter(holds(F.col("h1"))).groupBy("h1", "h2").agg(F.min(F.struct("doc", "digest", "line")).alias("at"))
+    where = keep(where.join(ids, "h1", "left_semi").select("h1", "h2", "at.doc", "at.digest", "at.line"), "where")
     wanted = where.groupBy("doc", "digest").agg(F.collect_list(F.struct("h1", "h2", "line")).alias("wanted"))
     holds = may_contain(where, where.count(), "digest")
     texts = some.filter(holds(F.col("__digest"))).select("__doc", "__digest", F.col(text_col).alias("__text")).join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__digest") == F.col("digest")))
@@ -158,17 +158,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = keep(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # written: an id of 64 bits for each line of 128
     nodes = texts.select("h1", "h2", F.col("id").alias("node"))
     members = members.join(nodes, F.col("id") == F.col("h1")).select("bucket", "big", "block", F.col("node").alias("id"))
-    edges = linked(members, texts.select("id", "text"), shingle_sets(size), threshold, name="lines")
-    classes = components(edges.select("a", "b"), "classes").join(nodes, F.col("id") == F.col("node")).select("h1", "h2", "component")
-
-    placed = first.join(classes, ["h1", "h2"], "left")
-    # classes of one line and no copy have nothing to remove
-    near = keep(placed.filter("component is not null"), "near")
-    heads = near.groupBy("component").agg(F.min("at").alias("head"), F.min("h1").alias("class_id"))
-    heads = spread_join(near.select("h1", "h2", "component"), heads, ["component"], "h1").select("h1", "h2", "class_id", "head")
-    heads = heads.union(placed.filter("component is null and n > 1").select("h1", "h2", F.col("h1").alias("class_id"), F.col("at").alias("head")))
+    edges = linked(members, texts.select("id", "text"), shingles_of(size), threshold, name="lines")
+    near = components(edges.select("a", "b"), "classes").join(nodes, F.col("id") == F.col("node")).select("h1", "h2", F.col("component").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(True).alias("near"))
+
+    # classes: components, and lines that only have copies; a line of neither has nothing to remove
+    copies = lines.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.lit(False).alias("near"))
+    marked = near.unionByName(copies).groupBy("h1", "h2").agg(F.max(F.struct("near", "c1", "c2")).alias("c")).select("h1", "h2", "c.*")
     # a line may stand in a third of all documents: its rows are dealt to parts
-    gone = spread_join(lines, heads, ["h1", "h2"], "doc").filter(F.struct("doc", "digest", "line") != F.col("head"))
+    placed = keep(spread_join(lines, marked, ["h1", "h2"], "doc"), "placed")
+    heads = placed.groupBy("near", "c1", "c2").agg(F.min(F.struct("doc", "digest", "line")).alias("head"), F.min("h1").alias("class_id"))
+    gone = spread_join(placed, heads, ["near", "c1", "c2"], "doc").filter(F.struct("doc", "digest", "line") != F.col("head"))
     gone = gone.select("doc", "digest", F.struct("line", "class_id", F.col("head.doc").alias("kept_doc"), F.col("head.line").alias("kept_line")).alias("x"))
     again = some.groupBy("__doc", "__digest").count().filter("count > 1").select("__doc", "__digest", F.lit(None).cast(gone.schema["x"].dataType))
     gone = gone.union(again)

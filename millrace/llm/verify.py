@@ -5,7 +5,8 @@
    bucket is cut into blocks in an order of its own, so that no task holds it.
 2. In each block a search from member to member compares exact shingle sets: whoever is
    linked to a member already reached is compared no more. The blocks give the edges of
-   their verified components, fewer than they have members.
+   their verified components, fewer than they have members. Small blocks are compared
+   many at a time.
 3. Members of different blocks of one bucket are compared only where the verified
    components differ: those outside the bucket's largest component against all others.
 
@@ -32,7 +33,10 @@ _SCHEMA = ["bucket", "big", "block", "id"]
 
 
 class Buckets:
-    """Reads rows (key, id) that stand in order of their keys, and gives (bucket, big, block, id); equal rows count once."""
+    """Reads rows (key, id) that stand in order of their keys, and gives (bucket, big, block, id).
+
+    Equal rows count once, unless they fall into different blocks of a large bucket.
+    """
 
     def __init__(self, block: int):
         self.block = block
@@ -59,6 +63,8 @@ class Buckets:
     def push(self, keys: np.ndarray, ids: np.ndarray):
         k, i, at = np.concatenate((self.k, keys)), np.concatenate((self.i, ids)), self.at
         if len(k):
+            order = np.lexsort((i, k))
+            k, i = k[order], i[order]
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
             k, i = k[new], i[new]
@@ -100,13 +106,18 @@ def buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(bucket, big, block, id): the buckets of two or more different ids, from rows (key, id).
 
     A bucket of any number of rows streams through the sort of its partition. One of more
-    than ``block`` members is ``big`` and cut into blocks, in an order that differs from
-    bucket to bucket.
+    than ``block`` members is ``big`` and cut into blocks.
     """
-    laid = rows.select("key", "id").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "id"), "id")
+    laid = rows.select("key", "id").repartition("key").sortWithinPartitions("key")
     return laid.mapInArrow(_read(block), "bucket long, big boolean, block int, id long").distinct()
 
 
+def distinct(shingle: Callable, texts: list[str]) -> list[np.ndarray]:
+    """The sorted set of each text."""
+    h, row = shingle(texts)
+    return [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(texts))))]
+
+
 class Sets:
     """Sorted sets of hashes; overlaps of one with all that are left."""
 
@@ -174,16 +185,64 @@ def _edges(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
 
+#: Members up to which all pairs of a block are compared, many blocks at a time; characters of text that are gathered for that.
+SMALL, GATHER = 8, 500_000
+
+
+def small_links(hashes: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, threshold: float):
+    """Linked pairs (row a, row b, similarity) of many small blocks at once.
+
+    hashes, row: shingles of all rows; first, n: the rows first to first + n - 1 are a block.
+    """
+    rows = int(n.sum())
+    block = np.repeat(np.arange(len(n)), n)
+    key = hashes ^ mix(block.astype(U) + U(1))[row]  # equal shingles of different blocks differ
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    key, row = key[new], row[new]
+    size = np.bincount(row, minlength=rows)
+    base = np.cumsum(n * n) - n * n
+    both = np.zeros(int((n * n).sum()), np.int64)
+    for d in range(1, int(n.max(initial=1))):
+        same = key[d:] == key[:-d]
+        a, b = row[:-d][same], row[d:][same]
+        u = block[a]
+        both += np.bincount(base[u] + (a - first[u]) * n[u] + b - first[u], minlength=len(both))
+    pair = np.flatnonzero(both)
+    u = np.searchsorted(base, pair, "right") - 1
+    a, b = np.divmod(pair - base[u], n[u])
+    a, b, both = a + first[u], b + first[u], both[pair]
+    union = size[a] + size[b] - both
+    ok = both >= threshold * union - 1e-9
+    return a[ok], b[ok], both[ok] / union[ok]
+
+
 def _in_blocks(shingle: Callable, threshold: float):
+    def small(units):
+        """Forest edges of blocks of at most SMALL rows."""
+        rows = [r for unit in units for r in unit]
+        n = np.array([len(unit) for unit in units])
+        forest, at = Forest(), np.cumsum(n) - n
+        found = small_links(*shingle([r[1] for r in rows]), at, n, threshold)
+        return [(rows[a][0], rows[b][0], s) for a, b, s in zip(*(x.tolist() for x in found), strict=True) if forest.join(a, b)]
+
     def run(batches):
-        out = []
+        out, units, held = [], [], 0
         for _, rows in _grouped(batches, 2):
-            if len(rows) > 1:
-                out += [(rows[x][0], rows[y][0], s) for x, y, s in tree(shingle([r[1] for r in rows]), threshold)]
+            if 1 < len(rows) <= SMALL:
+                units.append(rows)
+                held += sum(len(r[1]) for r in rows)
+            elif len(rows) > SMALL:
+                out += [(rows[x][0], rows[y][0], s) for x, y, s in tree(distinct(shingle, [r[1] for r in rows]), threshold)]
+            if held > GATHER:
+                out += small(units)
+                units, held = [], 0
             if len(out) > 20_000:
                 yield _edges(out)
                 out = []
-        yield _edges(out)
+        yield _edges(out + small(units) if units else out)
 
     return run
 
@@ -194,7 +253,7 @@ def _across(shingle: Callable, threshold: float):
     def run(batches):
         out = []
         for _, rows in _grouped(batches, 3):
-            sets, forest = Sets(shingle([r[3] for r in rows])), Forest()
+            sets, forest = Sets(distinct(shingle, [r[3] for r in rows])), Forest()
             side = np.array([r[0] for r in rows])
             if side.all() or not side.any():
                 continue
@@ -215,7 +274,8 @@ def linked(members: DataFrame, texts: DataFrame, shingle: Callable, threshold: f
     """Edges (a, b, similarity) that join whatever members of one bucket are linked, directly or through other members.
 
     ``members``: (bucket, big, block, id) as ``buckets`` gives them, with ids that occur
-    once in ``texts`` (id, text). ``shingle``: texts -> sorted unique shingle hashes.
+    once in ``texts`` (id, text). ``shingle``: texts -> (hashes of all
+    their shingles, text after text; the number of the text of each).
     """
     laid = members.join(texts, "id").select("bucket", "block", "id", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     edges = keep(laid.mapInArrow(_in_blocks(shingle, threshold), "a long, b long, similarity double"), name)
@@ -243,7 +303,7 @@ def _count(shingle: Callable, threshold: float):
         out = []
         for (_, i, j), rows in _grouped(batches, 3):
             weight, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            sets = Sets(shingle([r[3] for r in rows]))
+            sets = Sets(distinct(shingle, [r[3] for r in rows]))
             links, heavy = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
             if i != j:
                 sets.use(np.flatnonzero(block == i))

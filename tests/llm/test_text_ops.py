@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,50 @@ def test_language_filter_is_exact_on_grams():
     assert Counter(h.tolist()) == again and letters[0] == 6
 
 
+def gram_hashes(text):
+    b = np.frombuffer(text.encode(), np.uint8)
+    return G.grams(b, np.array([0, len(b)]))[0].tolist()
+
+
+@pytest.mark.parametrize("languages", [3, 70])
+def test_language_masks_are_brute_force(spark, languages):
+    """Every n-gram of every language sets its bits; popcounts, correction and decision follow; any number of languages."""
+    import random
+
+    rng = random.Random(8)
+    names = [f"l{k:02}" for k in range(languages)]
+    sound = {n: rng.sample("abcdefghijklmnopqrstuvwxyzéèßøåñ", 9) for n in names}
+    word = lambda n: "".join(rng.choices(sound[n], k=rng.randint(1, 7)))
+    rows = [(k, " ".join(word(n) for _ in range(30)), n) for k, n in enumerate(names * 4)]
+    rows += [(1000, rows[0][1], names[0]), (1001, None, names[1]), (1002, "no label", None)]
+    bits = 13
+    model = G.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), bits=bits)
+    assert model.languages == names
+    slots = lambda t: [s.tolist() for s in G.slots_of(np.array(gram_hashes(t), np.uint64), bits)]
+    taken = {n: {x for _, t, lang in rows if lang == n and t for s in slots(t) for x in s} for n in names}
+    for k, n in enumerate(names):
+        column = model.slots[:, k // 64].astype(np.uint64)
+        assert set(np.flatnonzero(column >> np.uint64(k % 64) & np.uint64(1)).tolist()) == taken[n]
+        assert model.false_rate[k] == pytest.approx((len(taken[n]) / 2**bits) ** 2)
+    texts = [t for _, t, _ in rows if t] + ["", "12 3", "qqqq zzzz"]
+    data = "".join(texts).encode()
+    off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    langs, scores = G.classify(np.frombuffer(data, np.uint8), off, model)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        spots = list(zip(*slots(t)))
+        if not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0)
+            continue
+        net = {}
+        for k, n in enumerate(names):
+            hits = sum(all(x in taken[n] for x in spot) for spot in spots)
+            f = model.false_rate[k]
+            net[n] = max(0, (hits - len(spots) * f) / (1 - f))
+        assert net[lang] == pytest.approx(max(net.values())) and score == pytest.approx(min(1, net[lang] / len(spots)))
+    right = sum(a == n for (_, t, n), a in zip((r for r in rows if r[1]), langs))
+    assert right >= 0.97 * (len(rows) - 2)
+
+
 def test_language_odd(spark, odd, empty, docs):
     rows = G.identify(odd).collect()
     assert {r["lang_pred"] for r in rows if not (r["text"] or "").strip()} == {"und"}
