@@ -105,21 +105,24 @@ def word_shingles(word_hashes: np.ndarray, first: np.ndarray, size: int) -> tupl
 
 
 def char_shingles(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``size`` characters of each span, and their spans; a shorter span has one shingle."""
+    """Hashes of the runs of ``size`` characters of each span, and their spans; a shorter span has one shingle. Spans rise and do not overlap."""
     n = len(codes)
-    at, span = ranges(starts, np.maximum(ends - starts - size + 1, 1))
     up, down = powers(n + 1)
     total = np.zeros(n + 1, U)
     np.cumsum((codes.astype(U) + U(1)) * up[:n], out=total[1:])
-    if n >= size:  # at every place of the chunk first: one pass over neighbours, no gathering of both ends
-        every = (total[size:] - total[:-size]) * down[: n - size + 1]
-        h = every[np.minimum(at, n - size)]
-    else:
-        h = np.zeros(len(at), U)
+    whole = np.flatnonzero(ends - starts >= size)
+    # a mark where the first shingle of a span begins, another behind its last: between them stand the places
+    mark = np.zeros(n + 1, np.int8)
+    mark[starts[whole]] += 1
+    mark[ends[whole] - size + 1] -= 1
+    at = np.flatnonzero(np.cumsum(mark[:n], dtype=np.int8))
+    h = (total[at + size] - total[at]) * down[at]
+    span = np.repeat(whole, (ends - starts)[whole] - size + 1)
     short = np.flatnonzero(ends - starts < size)
     if len(short):
-        mine = np.searchsorted(span, short)
-        h[mine] = (total[ends[short]] - total[starts[short]]) * down[starts[short]] + (ends - starts)[short].astype(U) * U(0xD6E8FEB86659FD93)
+        extra = (total[ends[short]] - total[starts[short]]) * down[starts[short]] + (ends - starts)[short].astype(U) * U(0xD6E8FEB86659FD93)
+        place = np.searchsorted(span, short)
+        h, span = np.insert(h, place, extra), np.insert(span, place, short)
     h ^= h >> U(32)
     h *= U(0xBF58476D1CE4E5B9)
     h ^= h >> U(29)

@@ -186,7 +186,7 @@ def _edges(rows):
 
 
 #: Members up to which all pairs of a block are compared, many blocks at a time; characters of text that are gathered for that.
-SMALL, GATHER = 8, 500_000
+SMALL, GATHER = 32, 500_000
 
 
 def small_links(hashes: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, threshold: float):
@@ -197,17 +197,24 @@ def small_links(hashes: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.nd
     rows = int(n.sum())
     block = np.repeat(np.arange(len(n)), n)
     key = hashes ^ mix(block.astype(U) + U(1))[row]  # equal shingles of different blocks differ
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, row = key[order], row[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    key, row = key[new], row[new]
-    size = np.bincount(row, minlength=rows)
+    same = key[1:] == key[:-1]
+    shared = np.append(same, False) | np.append(False, same)
+    alone = np.bincount(row[~shared], minlength=rows)
+    # entries of shared shingles by (shingle, row), once each
+    run = np.cumsum(np.append(True, ~same) & shared) if len(key) else key
+    code = np.sort(run[shared] * rows + row[shared])
+    run, row = np.divmod(code[np.append(True, code[1:] != code[:-1])] if len(code) else code, max(rows, 1))
+    size = alone + np.bincount(row, minlength=rows)
     base = np.cumsum(n * n) - n * n
     both = np.zeros(int((n * n).sum()), np.int64)
-    for d in range(1, int(n.max(initial=1))):
-        same = key[d:] == key[:-d]
-        a, b = row[:-d][same], row[d:][same]
+    at, d = np.arange(len(run)), 0
+    while len(at):  # each row that has a shingle with each later row that has it
+        d += 1
+        at = at[at + d < len(run)]
+        at = at[run[at + d] == run[at]]
+        a, b = row[at], row[at + d]
         u = block[a]
         both += np.bincount(base[u] + (a - first[u]) * n[u] + b - first[u], minlength=len(both))
     pair = np.flatnonzero(both)
