@@ -1,12 +1,14 @@
 """License scans with a positional index of rare template words.
 
 1. Document frequencies of all template words are counted over the whole corpus.
-2. Each template is indexed by its rarest words: word -> (template, position).
-3. In a file, every index word votes for (template, offset), the offset being the
-   difference of the two positions; offsets at which enough of a template's indexed
-   words agree are alignments. A template has few index words, so postings are short.
+2. Each template, a notice or a whole licence, is indexed by its rarest words (those of
+   the highest IDF): word -> (template, position).
+3. In a file every index word is looked up, whatever else the file holds. A posting gives
+   the offset of the template's start, the difference of the two positions. Where enough
+   different index words of a template give offsets that lie together is an alignment;
+   words put in or left out move the offsets apart, and so many are tolerated.
 4. An alignment counts only if the template's mandatory key phrases stand in it; its
-   score is the share of the template's words that stand where the template has them.
+   score is the share of the template's words that stand there in order.
 """
 
 from __future__ import annotations
@@ -40,8 +42,93 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
 ]
 
-#: Indexed words of a template; share of the indexed words that must agree on an offset; words by which an offset may drift.
-INDEXED, AGREE, DRIFT = 8, 0.6, 2
+# Whole licences: label, text, mandatory key phrases.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEMPLATES += [
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS + "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ["permission is hereby granted free of charge", "substantial portions of the software"],
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ["with or without fee is hereby granted", "appear in all copies"],
+    ),
+    ("bsd", _BSD_CONDITIONS + _BSD_DISCLAIMER, ["redistributions of source code must retain", "redistributions in binary form must reproduce"]),
+    ("bsd", _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER, ["redistributions of source code must retain", "endorse or promote products"]),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+        ["must not be misrepresented", "altered source versions must be plainly marked"],
+    ),
+    (
+        "boost",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, "
+        "and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, "
+        "and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+        ["any person or organization obtaining a copy", "machine executable object code"],
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+        ["free and unencumbered software", "public domain"],
+    ),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ["apache license version 2 0", "specific language governing permissions"],
+    ),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+        ["gnu general public license", "hope that it will be useful"],
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        ["gnu lesser general public license", "hope that it will be useful"],
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        ["gnu affero general public license", "hope that it will be useful"],
+    ),
+    (
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ["mozilla public license", "mozilla org mpl"],
+    ),
+]
+
+#: Index words of a template are a share of its words, but not fewer than the least; share of them that must give offsets that lie together.
+INDEXED, LEAST_INDEXED, AGREE = 1 / 6, 8, 0.6
+#: Words by which the offsets of an alignment may differ, as a share of the template's words, but not fewer than the least.
+DRIFT, LEAST_DRIFT = 1 / 4, 4
 
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[48:58] = WORD_BYTES[65:91] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
@@ -66,36 +153,59 @@ class Index:
         self.words = [np.array([_hash(w) for w in split_words(t[1])], np.int64) for t in templates]
         self.keys = [[np.array([_hash(w) for w in split_words(k)], np.int64) for k in t[2]] for t in templates]
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
+        self.need, self.drift, self.rare = [], [], []
         for t, (_, text, _) in enumerate(templates):
             w = split_words(text)
-            rare = sorted(set(w), key=lambda x: (df.get(x, 0), x))[:INDEXED]
+            rare = sorted(set(w), key=lambda x: (df.get(x, 0), x))[: max(LEAST_INDEXED, int(INDEXED * len(w)))]
             for p, x in enumerate(w):
                 if x in rare:
                     self.postings[_hash(x)].append((t, p))
+            self.rare.append(rare)
             self.need.append(max(2, math.ceil(AGREE * len(rare))))
+            self.drift.append(max(LEAST_DRIFT, int(DRIFT * len(w))))
         self.sorted = np.array(sorted(self.postings), np.int64)
 
     def scan(self, h: np.ndarray, at: np.ndarray) -> dict[str, float]:
         """Labels and scores of a file with word hashes ``h``, of which those at ``at`` are indexed."""
-        votes: Counter = Counter()
+        offsets: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, x in zip(at.tolist(), h[at].tolist(), strict=True):
             for t, q in self.postings[x]:
-                votes[t, p - q] += 1
+                offsets[t].append((p - q, x))
         found: dict[str, float] = {}
-        for t, offset in votes:
-            near = sum(votes.get((t, offset + d), 0) for d in range(-DRIFT, DRIFT + 1))
-            if near < self.need[t] or votes[t, offset] < max(votes.get((t, offset + d), 0) for d in range(-DRIFT, DRIFT + 1)):
+        for t, hits in offsets.items():
+            if len(hits) < self.need[t]:
                 continue
-            lo, hi = max(0, offset - DRIFT), offset + len(self.words[t]) + DRIFT
-            if all(len(consecutive(h[lo:hi], k)) for k in self.keys[t]):
-                own, i = self.words[t], np.arange(len(self.words[t])) + offset
-                ok = (i >= 0) & (i < len(h))
-                share = float((h[i[ok]] == own[ok]).sum()) / len(own)
-                found[self.labels[t]] = max(found.get(self.labels[t], 0.0), share)
+            hits.sort()
+            inside: Counter = Counter()
+            end = 0
+            for k, (start, x) in enumerate(hits):
+                while end < len(hits) and hits[end][0] <= start + self.drift[t]:
+                    inside[hits[end][1]] += 1
+                    end += 1
+                if len(inside) >= self.need[t]:
+                    region = h[max(0, start) : start + self.drift[t] + len(self.words[t])]
+                    if all(len(consecutive(region, key)) for key in self.keys[t]):
+                        share = in_order(self.words[t], region) / len(self.words[t])
+                        found[self.labels[t]] = max(found.get(self.labels[t], 0.0), share)
+                inside[x] -= 1
+                if not inside[x]:
+                    del inside[x]
         return found
 
 
+def in_order(words_: np.ndarray, region: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bits: bit k of ``open_`` is 0 where the k-th word was matched."""
+    places: dict[int, int] = defaultdict(int)
+    for k, x in enumerate(words_.tolist()):
+        places[x] |= 1 << k
+    every = (1 << len(words_)) - 1
+    open_ = every
+    for x in region.tolist():
+        hit = open_ & places.get(x, 0)
+        open_ = (open_ + hit | open_ - hit) & every
+    return len(words_) - open_.bit_count()
+
+
 def consecutive(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Places where the words of ``phrase`` stand in a row."""
     n = len(h) - len(phrase) + 1
@@ -164,8 +274,9 @@ def scan(docs: DataFrame, text_col: str = "text", templates=None, phrases: dict[
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     A null or empty text has no words, no labels ("") and score 0. Rows are scanned one
-    by one, so repeated rows agree. Columns of the added names in ``docs`` are replaced;
-    an empty table gives an empty table.
+    by one, so repeated rows agree. A text is scanned whole, some 30 times its bytes of
+    memory. ``templates``: (label, text, key phrases); ``phrases``: phrase -> label. Columns
+    of the added names in ``docs`` are replaced; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)

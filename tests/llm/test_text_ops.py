@@ -272,5 +272,74 @@ def test_licenses_of_many_notices(spark):
     assert labels == "apache,bsd,cc-by-nc,gpl,mit,mpl"
 
 
+def brute_labels(w, templates, index):
+    """Labels by trying every start of every template."""
+    out = set()
+    for t, (label, text, keys) in enumerate(templates):
+        own, rare, drift = N.split_words(text), set(index.rare[t]), index.drift[t]
+        where = {}
+        for q, x in enumerate(own):
+            where.setdefault(x, []).append(q)
+        offsets = [(p - q, x) for p, x in enumerate(w) if x in rare for q in where[x]]
+        for start in {o for o, _ in offsets}:
+            together = {x for o, x in offsets if start <= o <= start + drift}
+            region = w[max(0, start) : start + drift + len(own)]
+            said = [N.split_words(k) for k in keys]
+            if len(together) >= index.need[t] and all(any(region[i : i + len(k)] == k for i in range(len(region))) for k in said):
+                out.add(label)
+    return out
+
+
+def test_license_alignment_is_brute_force(spark):
+    """Every single template, pairs, and all in one file, with words put in and left out: labels as by trying every place."""
+    import random
+
+    rng = random.Random(6)
+    own = [(f"t{k}", text, keys) for k, (_, text, keys) in enumerate(N.TEMPLATES)]
+
+    def changed(text, put, left):
+        w = text.split()
+        for _ in range(put):
+            w.insert(rng.randrange(len(w)), rng.choice(["Acme", "2019", "Corporation", "software"]))
+        for _ in range(left):
+            del w[rng.randrange(len(w))]
+        return " ".join(w)
+
+    texts = []
+    for k, (_, text, _) in enumerate(own):
+        n = len(text.split())
+        texts += [text, changed(text, 3, 0), changed(text, n // 5, 0), changed(text, n // 8, n // 8), changed(text, n, 0)]
+        texts.append(changed(text, 2, 0) + "\n some words between \n" + changed(own[rng.randrange(len(own))][1], 2, 1))
+    texts.append("\n".join(text for _, text, _ in own))
+    texts.append(" ".join(rng.sample(" ".join(texts[:30]).split(), 600)))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in N.scan(df, templates=own, phrases={"no such phrase": "none"}).collect()}
+    frequency = Counter(x for t in texts for x in set(N.split_words(t)))
+    index = N.Index(own, frequency)
+    for k, t in enumerate(texts):
+        assert got[k] == brute_labels(N.split_words(t), own, index), (k, t[:80])
+    for k in range(len(own)):
+        assert f"t{k}" in got[6 * k]
+        whole = " ".join(N.split_words(texts[6 * k + 1]))
+        if all(" ".join(N.split_words(key)) in whole for key in own[k][2]):  # no word was put into a key phrase
+            assert f"t{k}" in got[6 * k + 1]
+    assert got[6 * len(own)] == {f"t{k}" for k in range(len(own))}
+
+
+def test_common_subsequence():
+    def brute(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = best[:]
+            for j, y in enumerate(b):
+                best[j + 1] = max(best[j], last[j + 1], last[j] + (x == y))
+        return best[-1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, rng.integers(1, 30)), rng.integers(0, 6, rng.integers(0, 40))
+        assert N.in_order(a, b) == brute(a.tolist(), b.tolist())
+
+
 def test_licenses_odd(spark, odd, empty):
     assert N.scan(odd).count() == 7 and N.scan(empty).count() == 0
