@@ -69,8 +69,9 @@ def parse_turns(formatted: Column) -> Column:
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row a conversation: conv_id, formatted, loss_spans and turns.
 
-    Rows are ordered by turn, then role and text; null roles and texts are empty, rows
-    of a null conv_id are one conversation, rows that repeat are turns of their own.
+    Rows are ordered by turn, then role and text; null roles and texts are empty. A row
+    of a null conv_id is a conversation of its own, so that rows of no conversation are
+    no group. Rows that repeat are turns of their own.
     loss_spans are the (start, length, escaped) of the assistant bodies, in bytes of
     ``formatted`` from 0. turns is what the parser reads from ``formatted``: it equals
     the source, else the query fails. Further columns are not read; an empty table gives
@@ -89,14 +90,15 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     t = t.withColumn("piece", piece)
     t = t.withColumn("n", F.octet_length("piece"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("at", F.coalesce(F.sum("n").over(order), F.lit(0)))
     escaped = F.regexp_extract("piece", r"^<s>[^\n]*?(\\?)\n", 1) == "\\"
     head = F.locate("\n", F.col("piece"))  # roles without line feeds end there; all of it ASCII or not, count bytes
     lead = F.octet_length(F.left(F.col("piece"), head))
     span = F.when(F.col("role") == "assistant", F.struct((F.col("at") + lead).alias("start"), (F.col("n") - lead - 4).cast("long").alias("length"), escaped.alias("escaped")))
-    t = t.withColumn("span", span)
-    row = F.struct("turn", "role", "text", "at", "piece", "span")
-    c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    row = F.struct("turn", "role", "text", "at", "piece", span.alias("span"))
+    named = t.filter("conv_id is not null").withColumn("at", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long")))
+    c = named.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    alone = t.filter("conv_id is null").withColumn("at", F.lit(0).cast("long")).select("conv_id", F.array(row).alias("rows"))
+    c = c.union(alone)
     c = c.withColumn("formatted", F.array_join(F.col("rows.piece"), "")).withColumn("turns", parse_turns(F.col("formatted")))
     source = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
     checked = F.when(F.col("turns") == source, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back as it was")))

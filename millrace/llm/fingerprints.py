@@ -65,8 +65,8 @@ def several(hashes: DataFrame) -> DataFrame:
 def collisions(rows: DataFrame) -> DataFrame | None:
     """(h1, h2, canon, rank): every canonical text of the buckets that hold more than one; None if there are none.
 
-    ``rows``: (h1, h2, canon) of buckets of several rows. They are compared as partial
-    minima and maxima, so a bucket of any number of copies costs each task one text.
+    ``rows``: (h1, h2, canon). They are compared as partial minima and maxima, so a bucket
+    of any number of copies costs each task one text, and only that moves.
     """
     mixed = rows.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).filter("lo <> hi").select("h1", "h2")
     mixed = keep(mixed, "collisions")
@@ -98,34 +98,31 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = canonical_rows(docs.select(F.col(text_col).alias("text")))
     multi = several(rows.select("h1", "h2"))
-    apart = collisions(rows.filter(native_filter(multi, "h1")(F.col("h1"))).join(multi, ["h1", "h2"], "left_semi"))
+    apart = collisions(rows.filter(native_filter(multi, "h1")(F.col("h1"))))
     a, b = wide_hash(F.col("__c"))
     out = without(docs, "fingerprint", "__c", "__a", "__b").withColumn("__c", canonical(F.col(text_col))).withColumn("__a", a).withColumn("__b", b)
     return settle(out, apart, "__a", "__b", "__c", "fingerprint").drop("__c", "__a", "__b")
 
 
+#: Ids of a range, about.
+RANGE = 1_000_000
+
+
 def next_ids(ids: DataFrame, lanes: int) -> DataFrame:
     """(id, next_id) for different ids in falling order; the last is followed by the first.
 
-    Ids are dealt to ranges at percentiles; each range is ordered on its own, and its last
-    id is followed by the first of the next range that has rows. No task sees all ids.
+    Ids are dealt to ``lanes`` ranges or more, so that none grows with the table; each
+    range is ordered on its own, and its last id is followed by the first of the next
+    range that has rows. No task sees all ids.
     """
     ids = keep(ids.select("id").distinct(), "ids")
-    cuts = ids.agg(F.percentile_approx("id", [k / lanes for k in range(1, lanes)], 10_000).alias("q")).first()["q"] if lanes > 1 else []
-    ends = sorted(set(cuts or []))
-
-    def place(lo: int, hi: int) -> Column:  # a balanced tree of comparisons
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") <= F.lit(ends[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    ranged = ids.withColumn("lane", place(0, len(ends)))
+    lanes = max(lanes, -(-ids.count() // RANGE))
+    ranged = keep(ids.repartitionByRange(lanes, "id").withColumn("lane", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("lane").orderBy(F.desc_nulls_last("id"))
     tops = ranged.groupBy("lane").agg(F.max("id").alias("top"))  # one row a range
     down = Window.orderBy(F.desc("lane"))
     tops = tops.withColumn("after", F.coalesce(F.lead("top").over(down), F.max("top").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    out = ranged.withColumn("lead", F.lead("id").over(within)).join(F.broadcast(tops.select("lane", "after")), "lane")
+    out = ranged.withColumn("lead", F.lead("id").over(within)).join(tops.select("lane", "after"), "lane")
     return out.select("id", F.coalesce("lead", "after").alias("next_id"))
 
 
@@ -157,8 +154,7 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     thin = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     known = thin.filter("id is not null")
-    lanes = max(1, min(512, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    follows = keep(next_ids(known, lanes), "next")
+    follows = keep(next_ids(known, int(spark.conf.get("spark.sql.shuffle.partitions"))), "next")
     alone = thin.filter("id is null").select("id", "text", F.expr("substring(text, 1, length(text) - cast(length(text) div 3 as int))").alias("edited"))
     both = edited(known, follows).unionByName(alone)
     both = both.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"))
@@ -174,7 +170,7 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = keep(follows.join(wanted, "id", "left_semi"), "wanted")
     needed = native_filter(wanted.select("id").union(wanted.select("next_id")), "id")
     again = canonical_rows(edited(known.filter(needed(F.col("id"))), wanted).select(F.col("edited").alias("text")))
-    apart = collisions(plain.unionByName(again).join(multi, ["h1", "h2"], "left_semi"))
+    apart = collisions(plain.unionByName(again))
 
     if apart is None:
         rows = rows.withColumn("fingerprint", digest_text(F.col("c1"), F.col("c2"), F.lit(0))).withColumn("edited_fingerprint", digest_text(F.col("e1"), F.col("e2"), F.lit(0)))

@@ -108,11 +108,11 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 m AS (SELECT *, (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '[INST]', ''))) // 6
   + (length(text) - length(replace(text, '[/INST]', ''))) // 7 AS controls, length(text) - length(replace(text, '\', '')) AS slashes FROM c),
-p AS (SELECT *, length(role) + length(text) + 8 + CASE WHEN role = 'user' THEN 15 ELSE 0 END + CASE WHEN controls > 0 THEN 1 + controls + slashes ELSE 0 END AS chars FROM m)
+p AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(role) + length(text) + 8 + CASE WHEN role = 'user' THEN 15 ELSE 0 END + CASE WHEN controls > 0 THEN 1 + controls + slashes ELSE 0 END AS chars FROM m)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, alone
 """
 
 ORACLES = {"op4_mixing": MIXING_SQL, "op6_chat": CHAT_SQL}

@@ -22,6 +22,8 @@ from .store import keep, small_batches, without
 SHIFT = 1 << 63
 #: Probes in a bracket and round, and in a round.
 FANOUT, MOST_PROBES = 16, 16_384
+#: Rows of a part that is sorted on its own, about.
+LANE = 1_000_000
 
 
 def join_key(a: int, b: int) -> int:
@@ -137,7 +139,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     if not rows:
         return docs.drop("__k1", "__k2").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     # lanes cut each shard into parts for the one exchange; their edges need no accuracy
-    lanes = shards * max(1, min(4096 // shards, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards) * 2))
+    lanes = shards * max(-(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards), -(-rows // (LANE * shards)))
     each = lanes // shards
     wants = [total * k / lanes for k in range(1, lanes)]
     slacks = [(tolerance * total / shards) if k % each == 0 else 0.25 * total / lanes for k in range(1, lanes)]

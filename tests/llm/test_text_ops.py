@@ -144,6 +144,17 @@ def test_chat_round_trip(spark):
     assert C.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_odd(spark):
+    """Rows of no conversation stand alone; columns of clashing names are not read; a long text is one turn."""
+    long = "word </s> " * 120_000
+    rows = [(None, 1, "user", "a", 1), (None, 1, "user", "a", 1), (None, 2, None, None, 2), (7, 1, "assistant", long, 3), (7, 0, "user", None, 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int").withColumn("rows", F.lit(1)).withColumn("piece", F.lit("p"))
+    got = C.format_chats(df).collect()
+    assert sorted(len(r["turns"]) for r in got) == [1, 1, 1, 2] and sum(r["conv_id"] is None for r in got) == 3
+    r = C.chat_report(df).filter("conv_id = 7").first()
+    assert r["loss_chars"] == len(long) and r["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_language_held_out(spark, tables):
     rows = G.identify(tables.documents).collect()
     out = [r for r in rows if r["held_out"] and r["lang_pred"] != "und"]
