@@ -17,8 +17,8 @@ def _at(x: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> U(k * bits)) & U((1 << bits) - 1) for k in (0, 1)]
 
 
-def may_contain(members: DataFrame, n: int, column: str):
-    """A function Column -> Column that is true for every value in ``members[column]`` (of which there are about ``n``)."""
+def member_test(members: DataFrame, n: int, column: str):
+    """A function of an array of longs, for use in tasks: true for every value in ``members[column]`` (of which there are about ``n``)."""
     bits = min(MOST_BITS, max(10, int(16 * max(n, 1)).bit_length()))
 
     @F.pandas_udf("array<long>")
@@ -34,14 +34,23 @@ def may_contain(members: DataFrame, n: int, column: str):
     table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(U)
     held = members.sparkSession.sparkContext.broadcast(table)
 
+    def test(x: np.ndarray) -> np.ndarray:
+        a, b = _at(x, bits)
+        t = held.value
+        return (t[(a >> U(6)).astype(np.int64)] >> (a & U(63)) & t[(b >> U(6)).astype(np.int64)] >> (b & U(63)) & U(1)).astype(bool)
+
+    return test
+
+
+def may_contain(members: DataFrame, n: int, column: str):
+    """A function Column -> Column that is true for every value in ``members[column]`` (of which there are about ``n``)."""
+    holds = member_test(members, n, column)
+
     @F.pandas_udf("boolean")
     def test(s):
         import pandas as pd
 
-        known = s.notna().to_numpy()
-        a, b = _at(s.fillna(0).to_numpy(np.int64), bits)
-        t = held.value
-        return pd.Series((t[(a >> U(6)).astype(np.int64)] >> (a & U(63)) & t[(b >> U(6)).astype(np.int64)] >> (b & U(63)) & U(1)).astype(bool) & known)
+        return pd.Series(holds(s.fillna(0).to_numpy(np.int64)) & s.notna().to_numpy())
 
     def apply(c: Column) -> Column:
         return test(c)

@@ -28,7 +28,7 @@ from .bloom import may_contain
 from .components import components, spread_join
 from .store import keep, small_batches, without
 from .textkit import BASE, SPACED, U, chunks, minhash, mix, signed, span_hashes, word_shingles, words
-from .verify import BLOCK, Buckets, counted, linked
+from .verify import BLOCK, Buckets, counted, gathered, linked
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 8, 0.995
 
@@ -114,10 +114,10 @@ def _nodes(depth: int, least: int, block: int):
             for t in tables:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), level, np.int32)), *t.columns], ["level", "bucket", "big", "block", "id"])
 
-        for batch in batches:
-            labels = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, depth)
-            ids = batch.column(2).to_numpy(zero_copy_only=False)
-            key = batch.column(0).to_numpy(zero_copy_only=False).astype(U) + U(1)
+        for table in gathered(batches):
+            labels = np.frombuffer(b"".join(table.column(1).to_pylist()), ">u2").reshape(-1, depth)
+            ids = table.column(2).to_numpy()
+            key = table.column(0).to_numpy().astype(U) + U(1)
             for d in range(1, depth + 1):
                 key = mix(key * U(BASE) + labels[:, d - 1].astype(U))
                 if d >= least:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bloom import may_contain
+from .bloom import may_contain, member_test
 from .components import components, spread_join
 from .store import keep, small_batches, without
 from .textkit import band_keys, char_shingles, chunks, one_permutation, signed
@@ -98,16 +98,23 @@ def shingles_of(size: int):
     return flat
 
 
-def _fetch(batches):
-    """(h1, h2, line) of the wanted line numbers of each document."""
-    for batch in batches:
-        keys, more, lines = [], [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            all_lines = split_lines(text)
-            keys += [w["h1"] for w in wanted]
-            more += [w["h2"] for w in wanted]
-            lines += [all_lines[w["line"]] for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(more, pa.int64()), pa.array(lines, pa.string())], ["h1", "h2", "line"])
+def _candidates(holds):
+    """(h1, h2, text) of the lines whose first 64 bits ``holds``; each different line of a task once."""
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            out: dict[tuple[int, int], str] = {}
+            lines = [x for text in batch.column(0).to_pylist() for x in split_lines(text) if x.strip(BLANK)]
+            keys = [line_key(x) for x in lines]
+            on = holds(np.array([k[0] for k in keys], np.int64))
+            out = {keys[k]: lines[k] for k in np.flatnonzero(on).tolist() if keys[k] not in seen}
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.string())], ["h1", "h2", "text"])
+
+    return run
 
 
 def _remaining():
@@ -146,15 +153,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = keep(some.select("__doc", "__digest", text_col).mapInArrow(_occurrences, "h1 long, h2 long, doc long, digest long, line long"), "lines")
     members = keep(buckets(some.select(text_col).mapInArrow(_bands(size, bands, rows), "key long, id long")), "buckets")
 
-    # one place of each candidate line, from which its text is fetched once
+    # the text of each candidate line, once
     ids = members.select(F.col("id").alias("h1")).distinct()
-    holds = may_contain(ids, ids.count(), "h1")
-    where = lines.filter(holds(F.col("h1"))).groupBy("h1", "h2").agg(F.min(F.struct("doc", "digest", "line")).alias("at"))
-    where = keep(where.join(ids, "h1", "left_semi").select("h1", "h2", "at.doc", "at.digest", "at.line"), "where")
-    wanted = where.groupBy("doc", "digest").agg(F.collect_list(F.struct("h1", "h2", "line")).alias("wanted"))
-    holds = may_contain(where, where.count(), "digest")
-    texts = some.filter(holds(F.col("__digest"))).select("__doc", "__digest", F.col(text_col).alias("__text")).join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__digest") == F.col("digest")))
-    texts = texts.select("__text", "wanted").mapInArrow(_fetch, "h1 long, h2 long, line string").groupBy("h1", "h2").agg(F.min("line").alias("text"))
+    holds = member_test(ids, ids.count(), "h1")
+    texts = some.select(text_col).mapInArrow(_candidates(holds), "h1 long, h2 long, text string").join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
     texts = keep(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # written: an id of 64 bits for each line of 128
     nodes = texts.select("h1", "h2", F.col("id").alias("node"))
     members = members.join(nodes, F.col("id") == F.col("h1")).select("bucket", "big", "block", F.col("node").alias("id"))

@@ -173,10 +173,11 @@ def one_permutation(hashes: np.ndarray, row: np.ndarray, rows: int, bins: int) -
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of ``rows`` entries of each signature."""
+    cut = sig[:, : bands * rows].reshape(len(sig), bands, rows)
     out = np.zeros((len(sig), bands), U)
-    for b in range(bands):
-        for k in range(rows):
-            out[:, b] = mix(out[:, b] * U(BASE) + sig[:, b * rows + k].astype(U) + U(b + 1))
+    salt = np.arange(1, bands + 1, dtype=U)
+    for k in range(rows):
+        out = mix(out * U(BASE) + cut[:, :, k].astype(U) + salt)
     return out
 
 

@@ -92,11 +92,28 @@ class Buckets:
             yield from self._whole(self.i, np.zeros(1, np.int64), np.array([len(self.i)]))
 
 
+#: Rows that are read at a time, about.
+READ = 50_000
+
+
+def gathered(batches, rows: int = READ):
+    """Batches joined until they hold ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _read(block: int):
     def run(batches):
         reader = Buckets(block)
-        for batch in batches:
-            yield from reader.push(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+        for table in gathered(batches):
+            yield from reader.push(*(table.column(c).to_numpy() for c in (0, 1)))
         yield from reader.close()
 
     return run
@@ -189,6 +206,18 @@ def _edges(rows):
 SMALL, GATHER = 32, 500_000
 
 
+def sort_order(key: np.ndarray) -> np.ndarray:
+    """A stable order of hashes: their first bits are sorted with the places behind them, which is faster than sorting places."""
+    bits = U(max(1, len(key)).bit_length())
+    place = np.arange(len(key), dtype=U)
+    packed = np.sort(key >> bits << bits | place)
+    order = (packed & ((U(1) << bits) - U(1))).astype(np.int64)
+    top, whole = packed >> bits, key[order]
+    if ((top[1:] == top[:-1]) & (whole[1:] != whole[:-1])).any():  # different hashes of equal first bits
+        return np.argsort(key, kind="stable")
+    return order
+
+
 def small_links(hashes: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, threshold: float):
     """Linked pairs (row a, row b, similarity) of many small blocks at once.
 
@@ -197,23 +226,19 @@ def small_links(hashes: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.nd
     rows = int(n.sum())
     block = np.repeat(np.arange(len(n)), n)
     key = hashes ^ mix(block.astype(U) + U(1))[row]  # equal shingles of different blocks differ
-    order = np.argsort(key)
+    order = sort_order(key)
     key, row = key[order], row[order]
-    same = key[1:] == key[:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    alone = np.bincount(row[~shared], minlength=rows)
-    # entries of shared shingles by (shingle, row), once each
-    run = np.cumsum(np.append(True, ~same) & shared) if len(key) else key
-    code = np.sort(run[shared] * rows + row[shared])
-    run, row = np.divmod(code[np.append(True, code[1:] != code[:-1])] if len(code) else code, max(rows, 1))
-    size = alone + np.bincount(row, minlength=rows)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    key, row = key[new], row[new]
+    size = np.bincount(row, minlength=rows)
     base = np.cumsum(n * n) - n * n
     both = np.zeros(int((n * n).sum()), np.int64)
-    at, d = np.arange(len(run)), 0
+    at, d = np.arange(len(key)), 0
     while len(at):  # each row that has a shingle with each later row that has it
         d += 1
-        at = at[at + d < len(run)]
-        at = at[run[at + d] == run[at]]
+        at = at[at + d < len(key)]
+        at = at[key[at + d] == key[at]]
         a, b = row[at], row[at + d]
         u = block[a]
         both += np.bincount(base[u] + (a - first[u]) * n[u] + b - first[u], minlength=len(both))
