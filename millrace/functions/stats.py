@@ -18,15 +18,25 @@ def table_profile(df: DataFrame) -> DataFrame:
     return df.agg(n.alias("row_count"), F.ceil(n / ROWS_A_PAGE).cast("long").alias("page_count"))
 
 
+def _by_value(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of one column: a scan of it alone, counted before it moves."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: rows, nulls, distinct, min, max (as strings) and avg_width, all in one pass."""
-    made = []
-    for c in columns:
-        s = F.col(c).cast("string")
-        made += [F.count(c).alias(f"{c}__n"), F.count_distinct(c).alias(f"{c}__d"), F.min(c).cast("string").alias(f"{c}__lo"), F.max(c).cast("string").alias(f"{c}__hi"), F.avg(F.length(s)).alias(f"{c}__w")]
-    wide = df.agg(F.count(F.lit(1)).alias("__rows"), *made)
-    row = lambda c: F.struct(F.lit(c).alias("column"), F.col("__rows").alias("rows"), (F.col("__rows") - F.col(f"{c}__n")).alias("nulls"), F.col(f"{c}__d").alias("distinct_values"), F.col(f"{c}__lo").alias("min_value"), F.col(f"{c}__hi").alias("max_value"), F.col(f"{c}__w").alias("avg_width"))
-    return wide.select(F.inline(F.array(*map(row, columns))))
+    """One row a column: rows, nulls, distinct, min, max (as strings) and avg_width.
+
+    Each column is read by itself and reduced to its distinct values before it moves; no
+    row is multiplied.
+    """
+
+    def one(c: str) -> DataFrame:
+        width = F.sum(F.length(F.col("value").cast("string")) * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+        rows = F.coalesce(F.sum("n"), F.lit(0).cast("long"))
+        nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0).cast("long"))
+        return _by_value(df, c).agg(F.lit(c).alias("column"), rows.alias("rows"), nulls.alias("nulls"), F.count("value").alias("distinct_values"), F.min("value").cast("string").alias("min_value"), F.max("value").cast("string").alias("max_value"), width.alias("avg_width"))
+
+    return reduce(DataFrame.unionByName, map(one, columns))
 
 
 def most_common(df: DataFrame, column: str, k: int = 10) -> DataFrame:
@@ -34,9 +44,11 @@ def most_common(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), "value").limit(k)
 
 
-def _ranged(counts: DataFrame, lanes: int) -> DataFrame:
-    """(v, n) with ``lane``, the number of its range: ranges of about equally many values, cut at approximate percentiles."""
-    cuts = counts.agg(F.percentile_approx("v", [k / lanes for k in range(1, lanes)], 10_000).alias("q")).first()["q"] if lanes > 1 else None
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(v, n) with ``lane``, the number of its range: ranges cut at approximate percentiles of the raw column, so that values are counted once."""
+    df = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    lanes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx("v", [k / lanes for k in range(1, lanes)], 10_000).alias("q")).first()["q"] if lanes > 1 else None
     ends = sorted(set(cuts or []))
 
     def place(lo: int, hi: int):  # a balanced tree of comparisons
@@ -45,12 +57,7 @@ def _ranged(counts: DataFrame, lanes: int) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(F.col("v") <= F.lit(ends[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
 
-    return counts.withColumn("lane", place(0, len(ends)))
-
-
-def _value_counts(df: DataFrame, column: str) -> DataFrame:
-    lanes = max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return _ranged(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")), lanes)
+    return df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("lane", place(0, len(ends)))
 
 
 def equi_depth(df: DataFrame, column: str, buckets: int = 100) -> DataFrame:
@@ -88,6 +95,34 @@ def max_diff(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return counts.groupBy(bucket.alias("bucket")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("distinct_values"))
 
 
+def v_optimal(df: DataFrame, column: str, buckets: int, cells: int = 256) -> DataFrame:
+    """Histogram whose buckets differ least inside: cuts that minimise the summed squared error of the values' frequencies.
+
+    Up to ``cells`` distinct values are cut exactly; more of them are first counted into
+    so many runs of values, by an equi-depth histogram, and the cuts fall between runs.
+    What comes to the driver is one row a cell, whatever the table.
+    """
+    counts = _value_counts(df, column)
+    few = counts.select("v", "n").limit(cells + 1).count() <= cells
+    runs = counts.select(F.col("v").alias("lo"), F.col("v").alias("hi"), F.col("n").alias("frequency"), F.lit(1).cast("long").alias("distinct_values")) if few else equi_depth(df, column, cells).drop("bucket")
+    rows = runs.orderBy("lo", "hi").collect()
+    per = [r["frequency"] / r["distinct_values"] for r in rows]
+    weight = [r["distinct_values"] for r in rows]
+    w, x, xx = [0.0], [0.0], [0.0]
+    for p, k in zip(per, weight, strict=True):
+        w.append(w[-1] + k)
+        x.append(x[-1] + p * k)
+        xx.append(xx[-1] + p * p * k)
+    error = lambda i, j: xx[j] - xx[i] - (x[j] - x[i]) ** 2 / (w[j] - w[i])
+    n, best = len(rows), {(0, 0): (0.0, [])}
+    for b in range(1, min(buckets, n) + 1):
+        for j in range(b, n + 1):
+            best[b, j] = min((best[b - 1, i][0] + error(i, j), best[b - 1, i][1] + [i]) for i in range(b - 1, j) if (b - 1, i) in best)
+    cuts = best[min(buckets, n), n][1] if n else []
+    bucket = reduce(lambda a, c: a + F.when(F.col("lo") >= F.lit(rows[c]["lo"]), 1).otherwise(0), cuts[1:], F.lit(0)).cast("long")
+    return runs.groupBy(bucket.alias("bucket")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("frequency").alias("frequency"), F.sum("distinct_values").alias("distinct_values"))
+
+
 def approx_distinct(df: DataFrame, column: str, rsd: float = 0.02) -> DataFrame:
     return df.agg(F.approx_count_distinct(column, rsd).alias("distinct_values"))
 
@@ -110,9 +145,8 @@ def correlation(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def equality_selectivity(df: DataFrame, columns: list[str]) -> DataFrame:
     """1 / distinct values of each column, within bounds: the share of rows that an equality keeps."""
-    wide = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
-    one = lambda c: F.struct(F.lit(c).alias("column"), F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.when(F.col(c) > 0, 1.0 / F.col(c)).otherwise(F.lit(DEFAULT_SELECTIVITY)))).alias("selectivity"))
-    return wide.select(F.inline(F.array(*map(one, columns))))
+    share = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.when(F.count("value") > 0, 1.0 / F.count("value")).otherwise(F.lit(DEFAULT_SELECTIVITY))))
+    return reduce(DataFrame.unionByName, [_by_value(df, c).agg(F.lit(c).alias("column"), share.alias("selectivity")) for c in columns])
 
 
 def join_selectivity(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:

@@ -49,7 +49,7 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 def truncated_divide(a: Column, b: Column) -> Column:
     """Integer division towards zero; null where b is zero."""
-    return F.when(b != 0, (a / b).cast("long"))
+    return F.when(b != 0, F.call_function("div", a, b))
 
 
 def sort(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:

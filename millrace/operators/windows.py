@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNBOUNDED = None
 
@@ -99,9 +100,11 @@ def _combine(name: str, values: list[tuple[Column, Column]]) -> Column:
 def aggregate(df: DataFrame, name: str, column: str, spec: Spec, out: str) -> DataFrame:
     """``df`` with ``out``: sum, avg, min, max or count of a column over the frame (nulls skipped; empty: null, count 0).
 
-    Exclusions: current row, group (with the row's peers) and ties (peers only), for ROWS
-    frames by current row alone, for GROUPS frames by each. ROWS frames that exclude
-    peers look at the frame's values one by one (they cost its width a row).
+    Exclusions: current row, group (with the row's peers) and ties (peers only). RANGE
+    frames, which hold peers whole, take what is excluded off the frame's sum, count and
+    avg; min and max cannot be taken back and raise ValueError. ROWS frames that exclude
+    peers look at the values of a bounded side one by one (they cost its width a row); an
+    unbounded side is a frame over peer groups.
     """
     f = AGGREGATES[name]
     if spec.unit == "groups" or spec.exclude in ("group", "ties"):
@@ -124,7 +127,7 @@ def aggregate(df: DataFrame, name: str, column: str, spec: Spec, out: str) -> Da
     elif spec.unit == "rows":
         return _rows_without_peers(df, name, column, spec, g, out)
     else:
-        raise ValueError("RANGE frames with exclusion are not supported")
+        return _range_less(df, name, column, spec, out)
     parts = [(sure(column).over(w), F.count(column).over(w)) for w in _parts(base, unit, lo, hi, spans)]
     if spec.exclude == "ties" and lo <= 0 <= hi:
         own = F.col(column)
@@ -146,16 +149,43 @@ def _all_but_self(df: DataFrame, name: str, column: str, spec: Spec, g: str, out
     return df.withColumn(out, _combine(name, parts)).drop("__g", "__n")
 
 
+def _range_less(df: DataFrame, name: str, column: str, spec: Spec, out: str) -> DataFrame:
+    """RANGE frame less what is excluded: sum, count and avg by difference."""
+    if name in ("min", "max"):
+        raise ValueError(f"{name} over a RANGE frame with exclusion is not supported")
+    lo, hi = _bounds(spec)
+    own, one = F.coalesce(F.col(column), F.lit(0)), F.col(column).isNotNull().cast("long")
+    total, n = F.coalesce(F.sum(column).over(spec.frame()), F.lit(0)), F.count(column).over(spec.frame())
+    if lo <= 0 <= hi:
+        if spec.exclude in ("group", "ties"):
+            peers = Window.partitionBy(*spec.partition, "__g")
+            total, n = total - F.coalesce(F.sum(column).over(peers), F.lit(0)), n - F.count(column).over(peers)
+        if spec.exclude == "ties":
+            total, n = total + own, n + one
+        elif spec.exclude == "current row":
+            total, n = total - own, n - one
+    df = df.withColumns({"__total": total, "__n": n})
+    made = F.col("__n") if name == "count" else F.when(F.col("__n") > 0, F.col("__total") / F.col("__n") if name == "avg" else F.col("__total"))
+    return df.withColumn(out, made).drop("__g", "__total", "__n")
+
+
 def _rows_without_peers(df: DataFrame, name: str, column: str, spec: Spec, g: str, out: str) -> DataFrame:
-    seen = F.collect_list(F.struct(F.col(g).alias("g"), F.col(column).alias("v"))).over(spec.frame())
-    df = df.withColumn("__seen", seen)
-    rest = F.filter("__seen", lambda x: (x["g"] != F.col(g)) & x["v"].isNotNull())
-    rest = F.transform(rest, lambda x: x["v"])
+    """ROWS frame without the row's peers (ties: with the row itself): what stands before its group and behind it."""
     lo, hi = _bounds(spec)
+    groups, inner = Window.partitionBy(*spec.partition).orderBy(g), "sum" if name == "avg" else name
+    parts = []
+    for open_end, (a, b), (x, y) in ((spec.start is None, (lo, min(hi, -1)), (Window.unboundedPreceding, -1)), (spec.end is None, (max(lo, 1), hi), (1, Window.unboundedFollowing))):
+        if open_end and lo <= 0 <= hi:  # all groups on this side
+            parts.append((AGGREGATES[inner](column).over(groups.rangeBetween(x, y)), F.count(column).over(groups.rangeBetween(x, y))))
+        elif a <= b:
+            seen = F.filter(F.collect_list(F.struct(F.col(g).alias("g"), F.col(column).alias("v"))).over(spec.ordered().rowsBetween(a, b)), lambda r: (r["g"] != F.col(g)) & r["v"].isNotNull())
+            k = len(parts)
+            df = df.withColumn(f"__side{k}", F.transform(seen, lambda r: r["v"]))
+            side, n = F.col(f"__side{k}"), F.size(f"__side{k}").cast("long")
+            kind = F.lit(0).cast("long") if isinstance(df.schema[column].dataType, T.IntegralType) else F.lit(0).cast("double")
+            value = {"sum": F.when(n > 0, F.aggregate(side, kind, lambda t, v: t + v)), "min": F.array_min(side), "max": F.array_max(side), "count": n}[inner]
+            parts.append((value, n))
     if spec.exclude == "ties" and lo <= 0 <= hi:
-        rest = F.when(F.col(column).isNotNull(), F.concat(rest, F.array(column))).otherwise(rest)
-    df = df.withColumn("__rest", rest)
-    n = F.size("__rest")
-    total = F.aggregate("__rest", F.lit(0).cast("double"), lambda a, x: a + x)
-    made = {"sum": F.when(n > 0, total), "avg": F.when(n > 0, total / n), "min": F.array_min("__rest"), "max": F.array_max("__rest"), "count": n.cast("long")}[name]
-    return df.withColumn(out, made).drop("__g", "__seen", "__rest")
+        one = F.col(column).isNotNull().cast("long")
+        parts.append((F.col(column) if inner != "count" else one, one))
+    return df.withColumn(out, _combine(name, parts)).drop("__g", "__side0", "__side1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,11 +38,6 @@ def rebalance(df: DataFrame, shards: int, key: str) -> DataFrame:
     return df.repartition(shards, key)
 
 
-def fragments(df: DataFrame, shard: Column, shards: int, run: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``run`` on each shard's rows, results concatenated, then merged: for queries that are written by fragment.
-
-    An aggregate needs no fragments: Spark's partial and final steps are the same plan
-    in one pass.
-    """
-    parts = reduce(DataFrame.unionByName, [run(df.filter(shard == k)) for k in range(shards)])
-    return merge(parts) if merge else parts
+def fragments(df: DataFrame, shard: Column, keys: list[str], measures: list[Column]) -> DataFrame:
+    """A grouped aggregate of each shard: one pass over the table, grouped by the shard as well."""
+    return df.groupBy(shard.alias("shard"), *keys).agg(*measures)

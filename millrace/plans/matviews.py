@@ -112,6 +112,23 @@ class MaterializedViews:
         else:
             self._write(view, stored.unionByName(delta))
 
+    def refresh_without(self, name: str, removed: DataFrame, inserted: DataFrame | None = None) -> None:
+        """Take deleted base rows off an aggregate view of counts, sums and averages (an update deletes the old row and inserts the new).
+
+        A view that counts its rows ("*") loses groups of which none is left. Minima and maxima cannot be taken back: such a view is refreshed in full.
+        """
+        view = self.views[name]
+        if not isinstance(view.query, AggregateView) or any(f in ("min", "max") for _, f, _ in view.query.steps()):
+            view.dirty = True
+            self.refresh(name)
+            return
+        less = view.query.partial(removed)
+        less = less.select(*view.query.keys, *[(-F.col(n)).alias(n) for n, _, _ in view.query.steps()])
+        states = [self._stored(view), less] + ([view.query.partial(inserted)] if inserted is not None else [])
+        left = view.query.merge(*states)
+        counts = [n for n, f, c in view.query.steps() if f == "count" and c == "*"]
+        self._write(view, left.filter(F.col(counts[0]) > 0) if counts else left)
+
     def needs_refresh(self, name: str, max_age: float) -> bool:
         view = self.views[name]
         return view.dirty or time.time() - view.refreshed > max_age

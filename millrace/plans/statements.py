@@ -1,88 +1,16 @@
-"""Prepared statements, DML as transforms, schema changes, and staged execution."""
+"""Prepared statements, DML and schema changes as transforms."""
 
 from __future__ import annotations
 
-import time
-from collections import OrderedDict
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def count_parameters(sql: str) -> int:
-    """Question marks outside strings, quoted names and comments."""
-    n, k = 0, 0
-    while k < len(sql):
-        c = sql[k]
-        if c in "'\"`":
-            end = sql.find(c, k + 1)
-            k = len(sql) if end < 0 else end
-        elif sql.startswith("--", k):
-            end = sql.find("\n", k)
-            k = len(sql) if end < 0 else end
-        elif sql.startswith("/*", k):
-            end = sql.find("*/", k)
-            k = len(sql) if end < 0 else end + 1
-        n += c == "?"
-        k += 1
-    return n
-
-
-@dataclass
-class Prepared:
-    """PREPARED -> BOUND -> EXECUTED -> CLOSED; it may be bound and executed again."""
-
-    spark: SparkSession
-    sql: str
-    state: str = "PREPARED"
-    args: list | None = None
-    executions: int = 0
-    parameters: int = field(init=False)
-
-    def __post_init__(self):
-        self.parameters = count_parameters(self.sql)
-
-    def bind(self, *args) -> Prepared:
-        if self.state == "CLOSED":
-            raise RuntimeError("the statement is closed")
-        if len(args) != self.parameters:
-            raise ValueError(f"{self.parameters} parameters are needed, not {len(args)}")
-        self.args, self.state = list(args), "BOUND"
-        return self
-
-    def execute(self, *args) -> DataFrame:
-        """Values never become part of the text, so they cannot change the statement."""
-        if args or self.state != "BOUND" and not self.parameters:
-            self.bind(*args)
-        if self.state not in ("BOUND", "EXECUTED"):
-            raise RuntimeError(f"cannot execute a statement that is {self.state}")
-        self.state, self.executions = "EXECUTED", self.executions + 1
-        return self.spark.sql(self.sql, args=self.args or None)
-
-    def close(self) -> None:
-        self.state = "CLOSED"
-
-
-class StatementCache:
-    """Named prepared statements; the oldest goes beyond ``most``."""
-
-    def __init__(self, spark: SparkSession, most: int = 1000):
-        self.spark, self.most, self.held = spark, most, OrderedDict()
-
-    def prepare(self, name: str, sql: str) -> Prepared:
-        self.deallocate(name)
-        while len(self.held) >= self.most:
-            self.held.popitem(last=False)[1].close()
-        self.held[name] = Prepared(self.spark, sql)
-        return self.held[name]
-
-    def execute(self, name: str, *args) -> DataFrame:
-        return self.held[name].execute(*args)
-
-    def deallocate(self, name: str) -> None:
-        if name in self.held:
-            self.held.pop(name).close()
+def prepared(spark: SparkSession, sql: str) -> Callable[..., DataFrame]:
+    """A statement with ? parameters, to be run with values; they never become part of the text, so they cannot change the statement."""
+    return lambda *args: spark.sql(sql, args=list(args) or None)
 
 
 def insert(table: DataFrame, rows: DataFrame, defaults: dict | None = None) -> DataFrame:
@@ -134,33 +62,3 @@ def drop_column(table: DataFrame, name: str) -> DataFrame:
 def row_level_filter(table: DataFrame, policy: str) -> DataFrame:
     """The rows that a policy (a SQL condition) lets a reader see."""
     return table.filter(F.expr(policy))
-
-
-class Pipeline:
-    """Parse, analyze, optimize and plan a statement, with the time of each phase."""
-
-    PHASES = ("parsing", "analysis", "optimization", "planning")
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.stats, self.plans = spark, {}, {}
-
-    def run(self, query_id: str, sql: str, args=None) -> DataFrame:
-        began = time.time()
-        stat = self.stats[query_id] = {"state": "parsing", "error": None}
-        try:
-            df = self.spark.sql(sql, args=args)
-            df._jdf.queryExecution().executedPlan()
-        except Exception as e:
-            stat |= {"state": "error", "error": str(e), "seconds": time.time() - began}
-            raise
-        phases = df._jdf.queryExecution().tracker().phases()
-        stat |= {p: phases.get(p).get().durationMs() for p in self.PHASES if phases.contains(p)}
-        stat |= {"state": "done", "seconds": time.time() - began}
-        self.plans[sql] = df
-        return df
-
-    def cached(self, sql: str) -> DataFrame | None:
-        return self.plans.get(sql)
-
-    def invalidate(self, sql: str | None = None) -> None:
-        self.plans.clear() if sql is None else self.plans.pop(sql, None)

@@ -1,11 +1,8 @@
-"""Versioned tables: change logs read as of a point, and Parquet versions behind an atomic pointer."""
+"""Versioned tables: change logs read as of a point."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,105 +39,6 @@ def conflicts(reads: DataFrame, commits: DataFrame, key: str, snapshot: str, com
     return reads.join(newest, key).filter(F.col("__c") > F.col(snapshot)).drop("__c")
 
 
-class Conflict(RuntimeError):
-    """Another transaction has committed the table since this one began."""
-
-
-class VersionedTable:
-    """A table as a folder of immutable Parquet versions and a log of one file a version.
-
-    Readers see the version that they open; a writer stages a version and commits it by
-    creating the next log file, which only one of several writers can. The folder may be
-    in any Hadoop file system whose create-if-absent is atomic.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
-        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._at("_log")):
-            return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(self._at("_log")) if s.getPath().getName().endswith(".json"))
-
-    def _entry(self, version: int) -> dict:
-        stream = self._fs.open(self._at(f"_log/{version}.json"))
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return json.loads(text)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        have = self.versions()
-        if not have:
-            raise ValueError(f"no table at {self.path}")
-        entry = self._entry(have[-1] if version is None else version)
-        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in entry["parts"]])
-
-    def begin(self) -> Transaction:
-        have = self.versions()
-        return Transaction(self, have[-1] if have else 0)
-
-    def commit(self, entry: dict, after: int) -> int:
-        try:
-            stream = self._fs.create(self._at(f"_log/{after + 1}.json"), False)
-        except Exception as e:
-            raise Conflict(f"version {after + 1} exists") from e
-        stream.write(bytearray(json.dumps(entry).encode()))
-        stream.close()
-        return after + 1
-
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Delete the data that none of the last ``keep`` versions needs."""
-        have = self.versions()
-        needed = {p for v in have[-keep:] for p in self._entry(v)["parts"]}
-        gone = []
-        for status in self._fs.listStatus(self._at("")):
-            name = status.getPath().getName()
-            if name.startswith("part-") and name not in needed:
-                self._fs.delete(status.getPath(), True)
-                gone.append(name)
-        for v in have[:-keep]:
-            self._fs.delete(self._at(f"_log/{v}.json"), False)
-        return gone
-
-
-class Transaction:
-    """Changes that others see all at once on commit, or never; with named savepoints."""
-
-    def __init__(self, table: VersionedTable, base: int):
-        self.table, self.base, self.open = table, base, True
-        self.parts = table._entry(base)["parts"] if base else []
-        self.saved: dict[str, list[str]] = {}
-
-    def _stage(self, df: DataFrame) -> str:
-        name = f"part-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.table.path}/{name}")
-        return name
-
-    def append(self, df: DataFrame) -> Transaction:
-        self.parts = [*self.parts, self._stage(df)]
-        return self
-
-    def overwrite(self, df: DataFrame) -> Transaction:
-        self.parts = [self._stage(df)]
-        return self
-
-    def read(self) -> DataFrame:
-        return self.table.spark.read.parquet(*[f"{self.table.path}/{p}" for p in self.parts])
-
-    def savepoint(self, name: str) -> None:
-        self.saved[name] = list(self.parts)
-
-    def rollback(self, to: str | None = None) -> None:
-        if to is None:
-            self.open = False
-        else:
-            self.parts = list(self.saved[to])
-
-    def commit(self) -> int:
-        if not self.open:
-            raise RuntimeError("the transaction has ended")
-        self.open = False
-        return self.table.commit({"parts": self.parts}, self.base)
+def committed(log: DataFrame, commits: DataFrame, version: str) -> DataFrame:
+    """The rows of a log whose version is among ``commits`` (one column of that name): what was rolled back is never read."""
+    return log.join(commits.select(version).distinct(), version, "left_semi").select(*log.columns)

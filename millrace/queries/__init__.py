@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, expressions, joining, scans, sorting, statements, streams, tables, windowing  # noqa: F401
+from . import aggregation, expressions, functions, joining, scans, sorting, statements, streams, tables, windowing  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 ENTRY = "flagship"

@@ -171,3 +171,29 @@ def distributed_partial_final_agg(t):
     """Partial states by shard, merged and finished."""
     states = A.salted(t.lineitem, ["l_returnflag"], "l_quantity")
     return A.finish(states).withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 6)})
+
+
+@query("SELECT o_orderpriority, o_orderstatus, CAST(grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS BIGINT) AS gid, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (o_orderpriority, o_orderstatus), ())")
+def agg_grouping_sets(t):
+    keys = ("o_orderpriority", "o_orderstatus")
+    grouped = t.orders.groupingSets([[F.col(keys[0])], [F.col(keys[1])], [F.col(k) for k in keys], []], *keys)
+    return grouped.agg(F.grouping_id().cast("long").alias("gid"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderstatus, count(*) FILTER (o_totalprice > 200000) AS large, round(avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 4) AS urgent FROM orders GROUP BY o_orderstatus")
+def agg_filter(t):
+    return t.sql("SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS large, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 4) AS urgent FROM {orders} GROUP BY o_orderstatus")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def agg_string(t):
+    return t.sql("SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
+
+
+@query("""WITH v AS (SELECT l_quantity AS v, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY l_quantity) AS k FROM lineitem GROUP BY 1),
+ p AS (SELECT v, k, n, sum(n) OVER w AS s, sum(n * n) OVER w AS q FROM v WINDOW w AS (ORDER BY k)), z AS (SELECT k, s, q FROM p UNION ALL SELECT 0, 0, 0), m AS (SELECT max(k) AS top FROM v),
+ e AS (SELECT a.k AS i, b.k AS j, b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.k - a.k) AS err FROM z a JOIN z b ON a.k < b.k),
+ c AS (SELECT x.j AS i, y.j AS j, x.err + y.err + w.err AS err FROM e x JOIN e y ON y.i = x.j JOIN e w ON w.i = y.j JOIN m ON w.j = top WHERE x.i = 0 ORDER BY err, x.j, y.j LIMIT 1)
+ SELECT CAST(CASE WHEN p.k <= c.i THEN 0 WHEN p.k <= c.j THEN 1 ELSE 2 END AS BIGINT) AS bucket, min(v) AS lo, max(v) AS hi, CAST(sum(n) AS BIGINT) AS frequency, count(*) AS distinct_values FROM p, c GROUP BY 1""")
+def stats_histogram_v_optimal(t):
+    return S.v_optimal(t.lineitem, "l_quantity", 3)

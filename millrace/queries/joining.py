@@ -21,14 +21,14 @@ def join_left_outer(t):
     return J.join(t.orders, t.lineitem, [("o_orderkey", "l_orderkey")], "left").select("o_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o RIGHT JOIN lineitem ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderstatus <> 'O') o RIGHT JOIN lineitem ON o_orderkey = l_orderkey")
 def join_right_outer(t):
-    return J.join(t.orders.filter("o_orderkey % 7 <> 0"), t.lineitem, [("o_orderkey", "l_orderkey")], "right").select("o_orderkey", "l_orderkey", "l_linenumber")
+    return J.join(t.orders.filter("o_orderstatus <> 'O'"), t.lineitem, [("o_orderkey", "l_orderkey")], "right").select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o FULL JOIN lineitem ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderstatus <> 'O') o FULL JOIN lineitem ON o_orderkey = l_orderkey")
 def join_full_outer(t):
-    return J.join(t.orders.filter("o_orderkey % 7 <> 0"), t.lineitem, [("o_orderkey", "l_orderkey")], "full").select("o_orderkey", "l_orderkey", "l_linenumber")
+    return J.join(t.orders.filter("o_orderstatus <> 'O'"), t.lineitem, [("o_orderkey", "l_orderkey")], "full").select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @query("SELECT r_name, n_name FROM region, nation")
@@ -103,3 +103,25 @@ def self_join(t):
 def join_range(t):
     bands = t.spark.createDataFrame([("debt", -1000.0, -0.01), ("low", 0.0, 999.99), ("mid", 1000.0, 4999.99), ("high", 5000.0, 10000.0)], "band string, lo double, hi double")
     return J.range_join(t.customer, bands, "c_acctbal", "lo", "hi", 1000.0).select("c_custkey", "band")
+
+
+@query("""SELECT a.event_id, a.user_id, b.value AS last_value, b.event_id AS last_event FROM (SELECT * FROM events WHERE event_type = 'error') a
+ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+def join_as_of(t):
+    """Each error with its user's last click before it."""
+    kind = lambda k: t.events.filter(F.col("event_type") == k)
+    clicks = kind("click").select("user_id", "ts", F.col("value").alias("last_value"), F.col("event_id").alias("last_event"))
+    return J.as_of_join(kind("error"), clicks, ["user_id"], "ts", ["last_value", "last_event"]).select("event_id", "user_id", "last_value", "last_event")
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal <= c_acctbal + 5 AND c_acctbal <= s_acctbal + 20")
+def join_interval(t):
+    """Suppliers [balance, + 20] and customers [balance, + 5] whose intervals overlap."""
+    a = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 20).alias("hi"))
+    b = t.customer.select("c_custkey", F.col("c_acctbal").alias("from"), (F.col("c_acctbal") + 5).alias("to"))
+    return J.interval_join(a, b, ("lo", "hi"), ("from", "to"), 25.0).select("s_suppkey", "c_custkey")
+
+
+@query("SELECT c_custkey, q.n, q.hi FROM customer, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS hi FROM orders WHERE o_custkey = c_custkey) q")
+def join_lateral(t):
+    return t.sql("SELECT c_custkey, q.n, q.hi FROM {customer}, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS hi FROM {orders} WHERE o_custkey = c_custkey) q")

@@ -71,12 +71,49 @@ def backup_restore(t):
 
 @query("SELECT k AS key, v AS value FROM (VALUES ('a', '3'), ('b', '2'), ('c', '5')) AS x(k, v)")
 def key_value_scan(t):
-    store = files.KeyValue(t.spark, _scratch(t))
-    store.put([("a", "1"), ("b", "2"), ("d", "9")], 1)
-    store.put([("a", "3"), ("c", "5")], 2)
-    return store.scan("a", "c")
+    log = R.values(t.spark, [("a", "1", 1), ("b", "2", 1), ("d", "9", 1), ("a", "3", 2), ("c", "5", 2)], "key string, value string, version long")
+    return files.key_scan(log, "a", "c")
 
 
 @query("SELECT to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name)) AS json FROM nation")
 def json_rows(t):
     return t.nation.select(F.to_json(F.struct("n_nationkey", "n_name")).alias("json").cast("string"))
+
+
+@query("SELECT 'orc' AS fmt, * FROM customer UNION ALL SELECT 'json', * FROM customer UNION ALL SELECT 'parquet', * FROM customer")
+def copy_formats(t):
+    """COPY out and in again in each format that keeps types."""
+    path, out = _scratch(t), None
+    for fmt in ("orc", "json", "parquet"):
+        files.copy_to(t.customer, f"{path}/{fmt}", fmt)
+        back = files.copy_from(t.spark, f"{path}/{fmt}", t.customer.schema, fmt).select(F.lit(fmt).alias("fmt"), "*")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (17, 42)")
+def bloom_seek(t):
+    """Equality on a column with a Bloom filter: row groups without the keys are skipped."""
+    path = _scratch(t)
+    files.write_sorted(t.customer, path, ["c_name"], 4, bloom=["c_custkey"])
+    return t.spark.read.parquet(path).filter(F.col("c_custkey").isin(17, 42)).select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def bucketed_join(t):
+    """Two tables in buckets of their key: the join needs no exchange."""
+    path, made = _scratch(t), []
+    for name, df, key in (("orders", t.orders, "o_orderkey"), ("lineitem", t.lineitem, "l_orderkey")):
+        table = f"millrace_bucketed_{name}_{uuid.uuid4().hex}"
+        files.write_buckets(df, table, [key], 4, f"{path}/{name}")
+        made.append(t.spark.table(table))
+    return made[0].hint("merge").join(made[1], F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def backup_incremental(t):
+    """A snapshot up to a version and the increment after it, restored as one log."""
+    path, log = _scratch(t), t.events.select("event_id", "user_id", "value")
+    files.backup({"log": log.filter("event_id <= 700")}, path)
+    files.backup_since(log, f"{path}/increment", "event_id", 700)
+    return files.restore(t.spark, f"{path}/log", f"{path}/increment")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import types as Y
+from ..plans import catalog as K
 from ..plans import statements as S
 from .registry import query
+from .scans import _scratch
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7 AND o_orderstatus <> '?'")
 def prepared_point_lookup(t):
     t.orders.createOrReplaceTempView("millrace_orders")
-    cache = S.StatementCache(t.spark)
-    cache.prepare("lookup", "SELECT o_orderkey, o_totalprice FROM millrace_orders WHERE o_orderkey = ? AND o_orderstatus <> '?'")
-    return cache.execute("lookup", 7)
+    lookup = S.prepared(t.spark, "SELECT o_orderkey, o_totalprice FROM millrace_orders WHERE o_orderkey = ? AND o_orderstatus <> '?'")
+    return lookup(7)
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 25, 'ATLANTIS', 0 UNION ALL SELECT 26, 'LEMURIA', 4")
@@ -87,6 +91,54 @@ def correlated_subquery(t):
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
 def staged_pipeline(t):
-    """A statement through the staged pipeline, with the time of each phase kept."""
-    t.orders.createOrReplaceTempView("millrace_orders")
-    return S.Pipeline(t.spark).run("q", "SELECT o_orderstatus, count(*) AS n FROM millrace_orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+    """A statement that Spark parses, analyzes, optimizes and plans."""
+    return t.sql("SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 99, 'ATLANTIS'")
+def create_insert_drop(t):
+    """CREATE TABLE AS, INSERT and DROP TABLE in Spark's own catalog; the rows are read before the table goes."""
+    name, path = f"millrace_t_{uuid.uuid4().hex}", _scratch(t)
+    t.nation.createOrReplaceTempView("millrace_nation")
+    t.spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' AS SELECT n_nationkey, n_name FROM millrace_nation WHERE n_regionkey = 1")
+    t.spark.sql(f"INSERT INTO {name} VALUES (99, 'ATLANTIS')")
+    t.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return t.spark.read.schema("n_nationkey int, n_name string").parquet(path)
+
+
+@query("SELECT * FROM (VALUES ('nation', 'nation_name', 'n_name', CAST(1 AS BIGINT))) AS x(table_name, index_name, column_name, ordinal_position)")
+def create_drop_index(t):
+    """Definitions: two tables, two indexes, one of each dropped again."""
+    c = K.Catalog(t.spark)
+    c.register("region", t.region)
+    c.register("nation", t.nation)
+    c.create_index("nation_name", "nation", ["n_name"])
+    c.create_index("nation_region", "nation", ["n_regionkey"])
+    c.drop_index("nation_region")
+    c.drop_table("region")
+    return c.sys_indexes()
+
+
+@query("SELECT * FROM (VALUES ('sales', 'nation'), ('main', 'region')) AS x(database, table_name)")
+def multi_database(t):
+    """Databases created, used and dropped; each has its own tables."""
+    c = K.Catalog(t.spark)
+    c.register("region", t.region)
+    c.create_database("sales")
+    c.create_database("gone")
+    c.drop_database("gone")
+    c.use("sales")
+    c.register("nation", t.nation)
+    return t.spark.createDataFrame([(d, n) for d, tables in c.databases.items() for n in tables], "database string, table_name string")
+
+
+@query("SELECT * FROM (VALUES ('+', 'int', 'bigint', 'bigint'), ('/', 'int', 'int', 'double'), ('=', 'text', 'text', 'boolean'), ('||', 'int', 'text', 'string'), ('AND', 'int', 'boolean', 'error'), ('+', 'date', 'int', 'error')) AS x(op, a, b, result)")
+def type_check(t):
+    """Result types of expressions, or an error, before anything runs."""
+    rows = []
+    for op, a, b in (("+", "int", "bigint"), ("/", "int", "int"), ("=", "text", "text"), ("||", "int", "text"), ("AND", "int", "boolean"), ("+", "date", "int")):
+        try:
+            rows.append((op, a, b, Y.binary_type(op, Y.parse_type(a), Y.parse_type(b)).simpleString()))
+        except Y.TypeMismatch:
+            rows.append((op, a, b, "error"))
+    return t.spark.createDataFrame(rows, "op string, a string, b string, result string")

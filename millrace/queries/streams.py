@@ -48,5 +48,32 @@ def stream_apply_changes(t):
     op = F.when(F.col("event_type") == "error", "delete").otherwise("update")
     t.events.select("user_id", "event_id", "value", op.alias("op")).write.parquet(f"{where}/in")
     changes = S.stream(t.spark, f"{where}/in", "user_id long, event_id long, value double, op string")
-    last = S.run_to_end(S.apply_changes(changes, f"{where}/out", ["user_id"], "event_id", "op", f"{where}/log"))
-    return S.current(t.spark, f"{where}/out", last, "op").select("user_id", "event_id", "value")
+    S.run_to_end(S.apply_changes(changes, f"{where}/out", ["user_id"], "event_id", "op", f"{where}/log"))
+    return S.current(t.spark, f"{where}/out", ["user_id"], "event_id", "op").select("user_id", "event_id", "value")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1")
+def stream_late_rows(t):
+    """Windows of a stream that goes on after its watermark has passed all the rows that come then: they are dropped."""
+    where, rows = _scratch(t), t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+
+    def step(batch, epoch):
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{where}/out/{epoch}")
+
+    for part in (rows.filter("ts >= '2024-01-15'"), rows.filter("ts < '2024-01-15'")):
+        part.write.mode("append").parquet(f"{where}/in")
+        counted = S.tumbling(S.stream(t.spark, f"{where}/in", rows.schema), "ts", "1 hour", [], [n()], late="10 minutes")
+        S.run_to_end(counted.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start())
+    out = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
+    return out.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.max_by("n", "epoch").alias("n"))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_first_seen(t):
+    """Each user once, though the stream brings them many times within the watermark."""
+    where = _scratch(t)
+    t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{where}/in")
+    events = S.stream(t.spark, f"{where}/in", "user_id long, ts timestamp")
+    seen = S.first_seen(events, ["user_id"], "ts", "60 days")
+    S.run_to_end(seen.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start())
+    return t.spark.read.schema("user_id long").parquet(f"{where}/out")

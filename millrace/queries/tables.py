@@ -38,20 +38,15 @@ def vacuum_versions(t):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 22")
 def versioned_table(t):
-    """Two commits, one of them after a partial rollback."""
-    table, n = V.VersionedTable(t.spark, _scratch(t)), t.nation.select("n_nationkey", "n_name")
-    table.begin().append(n.filter("n_nationkey < 20")).commit()
-    tx = table.begin()
-    tx.savepoint("s")
-    tx.append(n.filter("n_nationkey = 20"))
-    tx.rollback("s")
-    tx.append(n.filter("n_nationkey >= 22")).commit()
-    return table.read()
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
+    """Two commits, and a version between them that was rolled back."""
+    version = F.when(F.col("n_nationkey") < 20, 1).when(F.col("n_nationkey") >= 22, 3).otherwise(2)
+    log = t.nation.select("n_nationkey", "n_name", version.alias("version"))
+    return V.committed(log, t.spark.createDataFrame([(1,), (3,)], "version int"), "version").drop("version")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def fk_violations(t):
-    return C.fk_violations(t.orders.select("o_orderkey", "o_custkey"), t.customer.filter("c_custkey % 5 <> 0"), [("o_custkey", "c_custkey")])
+    return C.fk_violations(t.orders.select("o_orderkey", "o_custkey"), t.customer.filter("c_mktsegment <> 'BUILDING'"), [("o_custkey", "c_custkey")])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -105,10 +100,10 @@ def matview_create_query(t):
     return _views(t, [t.orders]).read("v").withColumn("mean", F.round("mean", 4))
 
 
-@query(VIEW_SQL.format("WHERE o_orderkey % 10 < 8"))
+@query(VIEW_SQL.format("WHERE o_orderpriority <> '1-URGENT'"))
 def matview_stale_read(t):
     """A read after the base has changed and before the refresh: the old rows."""
-    base = [t.orders.filter("o_orderkey % 10 < 8")]
+    base = [t.orders.filter("o_orderpriority <> '1-URGENT'")]
     views = _views(t, base)
     base[0] = t.orders
     views.changed("orders")
@@ -117,7 +112,7 @@ def matview_stale_read(t):
 
 @query(VIEW_SQL.format(""))
 def matview_refresh(t):
-    base = [t.orders.filter("o_orderkey % 10 < 8")]
+    base = [t.orders.filter("o_orderpriority <> '1-URGENT'")]
     views = _views(t, base)
     base[0] = t.orders
     views.changed("orders")
@@ -127,19 +122,41 @@ def matview_refresh(t):
 
 @query(VIEW_SQL.format(""))
 def matview_incremental(t):
-    views = _views(t, [t.orders.filter("o_orderkey % 10 < 8")])
-    views.refresh_with("v", t.orders.filter("o_orderkey % 10 >= 8"))
+    views = _views(t, [t.orders.filter("o_orderpriority <> '1-URGENT'")])
+    views.refresh_with("v", t.orders.filter("o_orderpriority = '1-URGENT'"))
     return views.read("v").withColumn("mean", F.round("mean", 4))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
 def matview_incremental_select(t):
-    views, big = M.MaterializedViews(t.spark, _scratch(t)), t.orders.filter("o_totalprice > 300000").select("o_orderkey", "o_totalprice")
-    views.create("big", lambda: big.filter("o_orderkey % 10 < 8"), {"orders"})
-    views.refresh_with("big", big.filter("o_orderkey % 10 >= 8"))
+    views, big = M.MaterializedViews(t.spark, _scratch(t)), t.orders.filter("o_totalprice > 300000")
+    views.create("big", lambda: big.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "o_totalprice"), {"orders"})
+    views.refresh_with("big", big.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice"))
     return views.read("big")
 
 
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT o_orderstatus, CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'F') q GROUP BY 1")
+def matview_deletes(t):
+    """A view kept up to date with deleted and updated base rows; a group of which nothing is left goes."""
+    views, o = M.MaterializedViews(t.spark, _scratch(t)), t.orders
+    views.create("v", M.AggregateView(["o_orderstatus"], {"n": ("count", "*"), "total": ("sum", "o_totalprice")}), {"orders"}, lambda: o)
+    gone, high = o.filter("o_orderpriority = '1-URGENT' or o_orderstatus = 'F'"), o.filter("o_orderpriority = '2-HIGH' and o_orderstatus <> 'F'")
+    views.refresh_without("v", gone.unionByName(high), high.withColumn("o_totalprice", F.col("o_totalprice") + 5))
+    return views.read("v").withColumn("total", F.round("total", 2))
+
+
+@query("SELECT * FROM (VALUES ('created', FALSE), ('base changed', TRUE), ('refreshed', FALSE), ('aged', TRUE)) AS x(step, needs)")
+def matview_needs_refresh(t):
+    views, steps = _views(t, [t.nation.select(F.lit("x").alias("o_orderstatus"), F.col("n_nationkey").alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"))]), []
+    steps.append(("created", views.needs_refresh("v", 1e9)))
+    views.changed("orders")
+    steps.append(("base changed", views.needs_refresh("v", 1e9)))
+    views.refresh("v")
+    steps.append(("refreshed", views.needs_refresh("v", 1e9)))
+    steps.append(("aged", views.needs_refresh("v", -1.0)))
+    return t.spark.createDataFrame(steps, "step string, needs boolean")
+
+
 def _catalog(t) -> K.Catalog:
     c = K.Catalog(t.spark)
     c.register("region", t.region, primary_key=["r_regionkey"])
@@ -200,5 +217,5 @@ def shard_balance(t):
 
 @query("SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY 1")
 def distributed_fragments(t):
-    run = lambda part: part.groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("total"))
-    return D.fragments(t.lineitem, D.hash_shard(F.col("l_orderkey"), 3), 3, run, lambda all_: all_.groupBy("l_returnflag").agg(F.sum("total").alias("total")))
+    parts = D.fragments(t.lineitem, D.hash_shard(F.col("l_orderkey"), 3), ["l_returnflag"], [F.sum("l_linenumber").alias("total")])
+    return parts.groupBy("l_returnflag").agg(F.sum("total").alias("total"))

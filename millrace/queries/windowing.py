@@ -163,3 +163,21 @@ def win_exclude_peers_rows(t):
     how = dict(start=None, end=None)
     df = W.aggregate(t.nation, "min", "n_nationkey", W.Spec([], [("n_regionkey", "asc")], exclude="group", **how), "g")
     return W.aggregate(df, "max", "n_nationkey", W.Spec([], [("n_regionkey", "asc")], exclude="ties", **how), "s").select("n_nationkey", "g", "s")
+
+
+@query("""SELECT o_orderkey, count(o_custkey) OVER (w RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING EXCLUDE CURRENT ROW) AS c, CAST(sum(o_orderkey) OVER (w RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING EXCLUDE GROUP) AS BIGINT) AS g,
+ round(avg(o_orderkey) OVER (w RANGE BETWEEN CURRENT ROW AND 50 FOLLOWING EXCLUDE TIES), 4) AS s FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_custkey)""")
+def win_exclude_range(t):
+    how = lambda exclude, start=-50: spec(order=[("o_custkey", "asc")], unit="range", start=start, end=50, exclude=exclude)
+    df = W.aggregate(t.orders, "count", "o_custkey", how("current row"), "c")
+    df = W.aggregate(df, "sum", "o_orderkey", how("group"), "g")
+    return W.aggregate(df, "avg", "o_orderkey", how("ties", 0), "s").select("o_orderkey", "c", "g", F.round("s", 4).alias("s"))
+
+
+@query("""SELECT n_nationkey, CAST(sum(n_nationkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS BIGINT) AS s, round(avg(n_nationkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES), 4) AS a,
+ count(n_nationkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS c FROM nation WINDOW w AS (ORDER BY n_regionkey NULLS FIRST)""")
+def win_exclude_peers_unbounded(t):
+    how = lambda exclude, end=None: W.Spec([], [("n_regionkey", "asc")], start=None, end=end, exclude=exclude)
+    df = W.aggregate(t.nation, "sum", "n_nationkey", how("group"), "s")
+    df = W.aggregate(df, "avg", "n_nationkey", how("ties"), "a")
+    return W.aggregate(df, "count", "n_nationkey", how("group", 0), "c").select("n_nationkey", "s", F.round("a", 4).alias("a"), "c")

@@ -70,25 +70,8 @@ def with_row_address(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
 
 
-class KeyValue:
-    """get, put and scan on a (key, value) log in Parquet; the newest version of a key counts."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def put(self, rows: list[tuple[str, str]], version: int) -> None:
-        self.spark.createDataFrame([(k, v, version) for k, v in rows], "key string, value string, version long").coalesce(1).write.mode("append").parquet(self.path)
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema("key string, value string, version long").parquet(self.path)
-
-    def get(self, key: str) -> str | None:
-        row = self._log().filter(F.col("key") == key).agg(F.max_by("value", "version").alias("v")).first()
-        return row["v"]
-
-    def scan(self, lo: str | None = None, hi: str | None = None) -> DataFrame:
-        """Keys between both ends, these included, in order."""
-        log = self._log()
-        log = log if lo is None else log.filter(F.col("key") >= lo)
-        log = log if hi is None else log.filter(F.col("key") <= hi)
-        return log.groupBy("key").agg(F.max_by("value", "version").alias("value")).orderBy("key")
+def key_scan(log: DataFrame, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """The newest value of each key between both ends, these included, in order, from a log (key, value, version)."""
+    log = log if lo is None else log.filter(F.col("key") >= lo)
+    log = log if hi is None else log.filter(F.col("key") <= hi)
+    return log.groupBy("key").agg(F.max_by("value", "version").alias("value")).orderBy("key")

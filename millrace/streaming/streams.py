@@ -36,27 +36,35 @@ def first_seen(events: DataFrame, keys: list[str], time: str, late: str) -> Data
 
 
 def apply_changes(changes: DataFrame, target: str, keys: list[str], version: str, op: str, checkpoint: str) -> StreamingQuery:
-    """Apply a change log (op: insert, update, delete; commit and abort rows are skipped) to a Parquet table.
+    """Append a change log (op: insert, update, delete; commit and abort rows are skipped) to a Parquet log, reduced.
 
-    Each batch writes a new generation of the table under ``target``; replaying a batch
-    after a failure writes the same generation again, so changes apply exactly once.
+    Each batch writes the newest change of each of its keys into a folder of its own:
+    its cost is that of the batch, whatever the table holds. Replaying a batch after a
+    failure writes the same folder again, so changes apply exactly once. ``current``
+    reads the table, ``compact`` folds the folders.
     """
-    spark = changes.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
         rows = batch.filter(F.lower(op).isin("insert", "update", "delete"))
-        if epoch:
-            rows = spark.read.parquet(f"{target}/{epoch - 1}").unionByName(rows)
-        rest = [c for c in rows.columns if c not in keys]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("__v")).select(*keys, "__v.*")
-        newest.select(*rows.columns).write.mode("overwrite").parquet(f"{target}/{epoch}")
+        _newest(rows, keys, version).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, generation: int, op: str) -> DataFrame:
-    """The rows of a target that are not deleted."""
-    return spark.read.parquet(f"{target}/{generation}").filter(F.lower(op) != "delete")
+def _newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("__v"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"__v.{c}").alias(c) for c in rows.columns])
+
+
+def current(spark: SparkSession, target: str, keys: list[str], version: str, op: str) -> DataFrame:
+    """The newest row of each key that is not deleted."""
+    return _newest(spark.read.parquet(target).drop("epoch"), keys, version).filter(F.lower(op) != "delete")
+
+
+def compact(spark: SparkSession, target: str, into: str, keys: list[str], version: str, op: str) -> None:
+    """The table as one folder under ``into``, without deleted rows: where a new log goes on from."""
+    current(spark, target, keys, version, op).write.mode("errorifexists").parquet(f"{into}/epoch=-1")
 
 
 def maintain(base: DataFrame, view: AggregateView, target: str, checkpoint: str) -> StreamingQuery:

@@ -38,46 +38,29 @@ def test_literals(spark):
     assert list(row) == [7, 7.5, True, None, "abc"]
 
 
-def test_parameters():
-    assert S.count_parameters("SELECT '?', \"?\", ? -- ?\n, /* ? */ ?") == 2
+def test_literals_that_are_text(spark):
+    """Only digits are numbers; true and null are words."""
+    row = spark.range(1).select(*[Y.infer_literal(x).alias(f"c{k}") for k, x in enumerate(["nan", "inf", "1_000", "-3", "1e3", ".5"])]).first()
+    assert list(row) == ["nan", "inf", "1_000", -3, 1000.0, 0.5]
 
 
-def test_prepared_states(spark):
-    cache = S.StatementCache(spark, most=2)
-    p = cache.prepare("a", "SELECT ? AS x")
-    with pytest.raises(ValueError):
-        p.bind(1, 2)
-    assert p.execute(3).first()["x"] == 3 and p.state == "EXECUTED"
-    cache.prepare("b", "SELECT 1")
-    cache.prepare("c", "SELECT 2")
-    assert p.state == "CLOSED" and set(cache.held) == {"b", "c"}
-    with pytest.raises(RuntimeError):
-        p.bind(1)
-
-
-def test_pipeline_error(spark):
-    p = S.Pipeline(spark)
-    with pytest.raises(Exception):
-        p.run("bad", "SELEC 1")
-    assert p.stats["bad"]["state"] == "error"
-
-
-def test_transactions(spark, tmp_path):
-    t = V.VersionedTable(spark, f"file://{tmp_path}/t")
-    t.begin().append(spark.range(3)).commit()
-    first, second = t.begin(), t.begin()
-    first.append(spark.range(3, 5)).commit()
-    second.append(spark.range(9, 10))
-    with pytest.raises(V.Conflict):
-        second.commit()
-    assert t.read().count() == 5 and t.read(1).count() == 3
-    lost = t.begin()
-    lost.append(spark.range(100))
-    lost.rollback()
-    with pytest.raises(RuntimeError):
-        lost.commit()
-    t.begin().overwrite(t.read().filter("id < 2")).commit()
-    assert len(t.vacuum()) >= 2 and t.read().count() == 2
+def test_prepared(spark):
+    run = S.prepared(spark, "SELECT ? AS x, '?' AS y")
+    assert list(run(3).first()) == [3, "?"] and run("x' OR 1=1 --").first()["x"] == "x' OR 1=1 --"
+
+
+def test_stream_replays(spark, tmp_path):
+    """A batch written twice changes nothing; a compacted table reads the same."""
+    rows = [(1, 1, "a", "insert"), (2, 2, "b", "insert"), (1, 3, "c", "update"), (2, 4, None, "delete"), (3, 5, "x", "commit")]
+    spark.createDataFrame(rows, "k long, v long, x string, op string").write.parquet(f"file://{tmp_path}/in")
+    from millrace.streaming import streams as R
+
+    changes = R.stream(spark, f"file://{tmp_path}/in", "k long, v long, x string, op string")
+    for log in ("log", "again"):  # a new checkpoint replays the whole log into the same folders
+        R.run_to_end(R.apply_changes(changes, f"file://{tmp_path}/out", ["k"], "v", "op", f"file://{tmp_path}/{log}"))
+        assert [(r["k"], r["x"]) for r in R.current(spark, f"file://{tmp_path}/out", ["k"], "v", "op").collect()] == [(1, "c")]
+    R.compact(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/small", ["k"], "v", "op")
+    assert spark.read.parquet(f"file://{tmp_path}/small").count() == 1
 
 
 def test_restrict(spark):
@@ -155,3 +138,82 @@ def test_group_frames(spark, rows, exclude, start, end, name):
         vals = [r[3] for r in inside if r[3] is not None]
         want = len(vals) if name == "count" else None if not vals else {"sum": sum, "min": min, "max": max, "avg": lambda x: sum(x) / len(x)}[name](vals)
         assert got[i] == (pytest.approx(want) if isinstance(want, float) else want)
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 1), st.integers(0, 4), st.one_of(st.none(), st.integers(-9, 9))), min_size=1, max_size=14),
+    st.sampled_from(["current row", "group", "ties"]),
+    st.sampled_from([None, -2, 0, 1]),
+    st.sampled_from([None, 2, 0, -1]),
+    st.sampled_from(["sum", "count", "avg"]),
+)
+def test_range_frames(spark, rows, exclude, start, end, name):
+    """RANGE frames with exclusion against a walk over the rows."""
+    data = [(k, *r) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "i long, p long, o long, v long")
+    if start is not None and end is not None and start > end:
+        return
+    got = {r["i"]: r["x"] for r in W.aggregate(df, name, "v", W.Spec(["p"], [("o", "asc")], "range", start, end, exclude), "x").collect()}
+    for i, p, o, v in data:
+        inside = [r for r in data if r[1] == p and (start is None or r[2] >= o + start) and (end is None or r[2] <= o + end)]
+        inside = [r for r in inside if (r[0] != i if exclude == "current row" else r[2] != o or exclude == "ties" and r[0] == i)]
+        vals = [r[3] for r in inside if r[3] is not None]
+        want = len(vals) if name == "count" else None if not vals else sum(vals) if name == "sum" else sum(vals) / len(vals)
+        assert got[i] == (pytest.approx(want) if isinstance(want, float) else want)
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 1), st.integers(0, 3), st.one_of(st.none(), st.integers(-9, 9))), min_size=1, max_size=14),
+    st.sampled_from(["group", "ties"]),
+    st.sampled_from([None, -2, 0]),
+    st.sampled_from([None, 2, 0]),
+    st.sampled_from(["sum", "min", "max", "count", "avg"]),
+)
+def test_row_frames_without_peers(spark, rows, exclude, start, end, name):
+    """ROWS frames that exclude peers, bounded or not, against a walk over the rows."""
+    data = [(k, *r) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "i long, p long, o long, v long")
+    first = {}  # peers in any order: only frames that hold them whole, or none of them, have one answer
+    for i, p, o, v in data:
+        first.setdefault((p, o), []).append(i)
+    if (start is not None or end is not None) and any(len(x) > 1 for x in first.values()):
+        data = [r for r in data if first[r[1], r[2]][0] == r[0]]
+        df = spark.createDataFrame(data, "i long, p long, o long, v long")
+    got = {r["i"]: r["x"] for r in W.aggregate(df, name, "v", W.Spec(["p"], [("o", "asc")], "rows", start, end, exclude), "x").collect()}
+    for i, p, o, v in data:
+        mine = sorted((r for r in data if r[1] == p), key=lambda r: r[2])
+        at = next(k for k, r in enumerate(mine) if r[0] == i)
+        inside = [r for k, r in enumerate(mine) if (start is None or k >= at + start) and (end is None or k <= at + end)]
+        inside = [r for r in inside if r[2] != o or exclude == "ties" and r[0] == i]
+        vals = [r[3] for r in inside if r[3] is not None]
+        want = len(vals) if name == "count" else None if not vals else {"sum": sum, "min": min, "max": max, "avg": lambda x: sum(x) / len(x)}[name](vals)
+        assert got[i] == (pytest.approx(want) if isinstance(want, float) else want)
+
+
+def test_v_optimal(spark):
+    """The least squared error of all ways to cut."""
+    from itertools import combinations
+
+    from millrace.functions import stats as Z
+
+    n = [3, 3, 9, 8, 1, 1, 2, 7]
+    df = spark.createDataFrame([(v,) for v, k in enumerate(n) for _ in range(k)], "v long")
+
+    def error(cuts):
+        parts = [n[a:b] for a, b in zip((0, *cuts), (*cuts, len(n)))]
+        return sum(sum((x - sum(p) / len(p)) ** 2 for x in p) for p in parts)
+
+    want = min(combinations(range(1, len(n)), 2), key=error)
+    got = Z.v_optimal(df, "v", 3).orderBy("bucket").collect()
+    assert [r["lo"] for r in got] == [0, *want] and sum(r["frequency"] for r in got) == sum(n)
+    coarse = Z.v_optimal(df, "v", 3, cells=4).collect()
+    assert sum(r["frequency"] for r in coarse) == sum(n) and Z.v_optimal(df.limit(0), "v", 3).count() == 0
+
+
+def test_as_of_ties(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (1, 0, "early"), (None, 5, "null"), (2, 5, "none")], "k long, at long, x string")
+    b = spark.createDataFrame([(1, 5, 7), (1, 5, 9), (1, 3, 1), (1, 6, 2)], "k long, at long, y long")
+    got = {r["x"]: r["y"] for r in J.as_of_join(a, b, ["k"], "at", ["y"]).collect()}
+    assert got == {"x": 9, "early": None, "null": None, "none": None}

@@ -52,6 +52,22 @@ def test_sketches_are_near(spark, tables):
     assert abs(QUERIES["approx_count_distinct"](spark, DATA).first()[0] - exact) <= 0.1 * exact
 
 
+def test_without_sql(spark, tables):
+    """What SQL cannot say of these queries."""
+    import zlib
+
+    run = lambda name: QUERIES[name](spark, DATA).collect()
+    keys = {r["o_orderkey"] for r in tables.orders.select("o_orderkey").collect()}
+    sample = [r["o_orderkey"] for r in run("sample_reservoir")]
+    assert len(sample) == len(set(sample)) == min(300, len(keys)) and set(sample) <= keys and sample == [r["o_orderkey"] for r in run("sample_reservoir")]
+    names = {r["c_custkey"]: r["c_name"] for r in tables.customer.collect()}
+    assert {r["c_custkey"]: r["crc"] for r in run("hash_crc32")} == {k: zlib.crc32(n.encode()) for k, n in names.items()}
+    shards = {r["shard"]: r["rows"] for r in run("shard_consistent_counts")}
+    assert set(shards) == set(range(4)) and sum(shards.values()) == len(keys) and min(shards.values()) > len(keys) / 8
+    exact = {r[0]: r[1] for r in tables.spark.sql(f"SELECT year(l_shipdate), count(DISTINCT l_partkey) FROM parquet.`{DATA}/lineitem.parquet` GROUP BY 1").collect()}
+    assert all(abs(r["distinct_values"] - exact[r["year"]]) <= 0.1 * exact[r["year"]] for r in run("sketch_count_distinct"))
+
+
 def test_entry_lists_all(spark):
     import __spark_entry__ as e
 
