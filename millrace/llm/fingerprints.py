@@ -148,7 +148,8 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Next: the document of the next lower id, after the lowest the highest; of rows that
     repeat an id the least text stands for it. A row with a null id has no next document:
     its edited text is the text without its last third, and near_next is null. An exact
-    digest is equal or it is not: likeness is 1 or 0. One row a row of ``docs``.
+    digest is equal or it is not: likeness is 1 or 0. One row a row of ``docs``. Ids are
+    whole numbers, or strings of digits; further columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

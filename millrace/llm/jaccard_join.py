@@ -168,7 +168,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id of the connected component, and is_first marks one row of each: that of the least
     id (repeated rows of it: each is marked, see ``first_of_each``). Texts without words
     (null, empty, white space) are copies of nothing: each is its own class. A null id
-    stands below all others in classes.
+    stands below all others in classes. Ids are whole numbers, or strings of digits. A
+    text of any length is worked on whole, in a chunk of its own; further columns are not
+    read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)

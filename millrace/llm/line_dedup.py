@@ -142,8 +142,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Adds n_lines, n_kept (lines with a visible character) and removed, an array of
     (line, class_id, kept_doc, kept_line). Null and empty texts pass unchanged with 0
     lines. Rows with equal id and text are copies: the first keeps its lines, the others
-    lose them all. Columns of the added names in ``docs`` are replaced. An empty table
-    gives an empty table.
+    lose them all. Ids are whole numbers, or strings of digits. A text of any length is
+    worked on whole, in a chunk of its own. Columns of the added names in ``docs`` are
+    replaced. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -257,8 +257,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     leaves its turn to the others. The counts of the sources, one row a source, come to
     the driver. Null or empty texts are their end id alone; null sources form a queue of
     their own; rows that repeat are packed each time; an empty table gives no piece. A
-    long text is cut over parts, so only its ids stand in one task. Further columns of
-    ``docs`` are not read.
+    long text is cut over parts, so only its ids stand in one task. Ids are whole numbers,
+    or strings of digits. Further columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -37,11 +37,11 @@ def split_key(key: int) -> tuple[int, int]:
 def place(k1: np.ndarray, k2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     """For each key the number of probes that are not above it; probes are sorted."""
     lo, hi = np.searchsorted(p1, k1, "left"), np.searchsorted(p1, k1, "right")
-    tied = np.flatnonzero(lo < hi)
+    out, tied = lo.copy(), np.flatnonzero(lo < hi)
     for at in np.unique(lo[tied]):
         mine = tied[lo[tied] == at]
-        lo[mine] = at + np.searchsorted(p2[at : hi[mine[0]]], k2[mine], "right")
-    return lo
+        out[mine] = at + np.searchsorted(p2[at : hi[mine[0]]], k2[mine], "right")
+    return out
 
 
 def _histogram(probes: list[int]):
@@ -126,7 +126,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     share by at most ``tolerance`` of a shard, or by half the one document that stands
     there. Rows of equal text and id have one key and stay together. slot counts the
     rows of a shard from 0 in key order (rows of one key: by nothing further). Columns
-    of the added names in ``docs`` are replaced; an empty table gives an empty table.
+    of the added names in ``docs`` are replaced; an empty table gives an empty table. Ids
+    are whole numbers, or strings of digits; a null id stands below all others.
     """
     spark = docs.sparkSession
     small_batches(spark)
