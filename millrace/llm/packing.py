@@ -16,6 +16,7 @@ powers of two, so nothing is ever padded.
 
 from __future__ import annotations
 
+import base64
 import json
 import zlib
 from itertools import groupby
@@ -31,23 +32,41 @@ from .store import keep, small_batches
 
 WINDOW = 1024
 #: Entries of a worker's word cache; it starts anew when full.
-CACHE = 150_000
+CACHE = 300_000
 #: Windows of a part, which a task holds at a time: at most, and at least, so that there are parts for all tasks.
 PART_MOST, PART_LEAST = 2048, 64
 
 
 class WordCache(dict):
-    """Token ids (little-endian uint16) of a word with its leading space; None for words that must not be cut out."""
+    """Token ids (little-endian uint16) of a word with its leading space; None for words that must not be cut out.
+
+    ``path``: a byte-level BPE as a tokenizers .json, with the same vocabulary as a rank
+    file (.tiktoken) beside it. Single words are encoded from the ranks, five times faster
+    than by the tokenizer and to the same ids; what is not a word goes to the tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def encode(self, text: str) -> bytes:
+        """Ids of any text without added tokens."""
+        return np.asarray(self.ranks.encode_ordinary(text), "<u2").tobytes()
+
+    def encode_whole(self, text: str) -> bytes:
+        """Ids of any text, by the tokenizer itself."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __missing__(self, word: str) -> bytes | None:
@@ -75,7 +94,7 @@ def encode_text(text: str, cache: WordCache) -> bytes:
     A text with an added token, which is recognised before any splitting, goes to the tokenizer whole.
     """
     if any(t in text for t in cache.added):
-        return cache.encode(text)
+        return cache.encode_whole(text)
     first, *rest = text.split(" ")
     parts = list(map(cache.__getitem__, rest))
     if None in parts:  # runs of white space: their pieces depend on what follows

@@ -118,6 +118,19 @@ def test_added_tokens_are_exact(spark, tokenizer):
     check(P.pack(df, tokenizer_path()).collect(), dict(enumerate(ADDED)), tokenizer)
 
 
+def test_words_are_the_tokenizer_s(tables, tokenizer):
+    """Words encoded from the ranks have the ids of the tokenizer, on real texts and on random ones of all kinds of characters."""
+    import random
+
+    rng = random.Random(5)
+    kinds = ["abz", "AZ", "019", " ", " \n", "\t\r\x0b\x1c\x85\u2003\u3000", "éßÅø", "日本語", "🙂👍🏽", "'sdtl", "!?.,-_#", "\u0301\u200d", "٣४", "Ⅳ½"]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts += [r["text"] for r in tables.documents.select("text").collect() if r["text"]]
+    cache = P.WordCache(tokenizer_path())
+    for t in texts:
+        assert np.frombuffer(P.encode_text(t, cache), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:200])
+
+
 def test_tail():
     assert P.tail_cuts(0) == [] and P.tail_cuts(700) == [512, 128, 32, 16, 8, 4]
 
