@@ -32,8 +32,6 @@ class Forest:
 
 #: Nodes that a task's union-find holds before it gives its stars out and starts anew.
 HELD = 500_000
-#: Parts that the rows of a hub are dealt to.
-SPREAD = 16
 
 
 def _local(batches):
@@ -56,10 +54,13 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(_local, "a long, b long")
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right``, which has one row a key: the rows of each key are dealt to ``SPREAD`` parts by a hash of ``by``."""
-    dealt = left.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
-    return dealt.join(right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [*on, "__part"], how).drop("__part")
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", name: str = "right") -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key.
+
+    ``right`` is written first, so both sides are dealt for this join alone, and Spark
+    splits the rows of a hot key over tasks where a partition is large (adaptive skew join).
+    """
+    return left.join(keep(right, name), on, how)
 
 
 def disjoint(stars: DataFrame) -> bool:
@@ -73,14 +74,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each task contracts its edges to stars; large-star and small-star rounds (Kiveris et
     al., 2014) run on tables until the stars are disjoint, which is tested on the rows
     themselves. The rounds needed grow with the logarithm of the nodes. Rows that look up
-    the centre of a star, of which a hub has any number, are dealt to parts.
+    the centre of a star, of which a hub has any number, can be split over tasks.
     """
     now = keep(contract(edges.filter("a <> b")).distinct(), name)
     while not disjoint(now):
         # large star: a node goes to the least node of the neighbourhood of each lower neighbour
         least = now.union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
-        centres = keep(least.join(now.select("b").distinct(), "b", "left_semi"), f"{name}-centres")
-        large = keep(spread_join(now, centres, ["b"], "a").select("a", F.col("m").alias("b")).distinct(), f"{name}-large")
+        centres = least.join(now.select("b").distinct(), "b", "left_semi")
+        large = keep(split_join(now, centres, ["b"], name=f"{name}-centres").select("a", F.col("m").alias("b")).distinct(), f"{name}-large")
         # small star: a node and its lower neighbours go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b")))

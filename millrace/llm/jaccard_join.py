@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_contain
-from .components import components, spread_join
+from .components import components, split_join
 from .store import keep, small_batches, without
 from .textkit import BASE, SPACED, U, chunks, minhash, mix, signed, span_hashes, word_shingles, words
 from .verify import BLOCK, Buckets, counted, gathered, linked
@@ -199,11 +199,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = counted(classes.select("id", "component", "weight"), store.select("id", "text"), shingles_of(size), threshold)
 
     heads = classes.groupBy("component").agg(F.min(F.struct("least.doc", "least.digest", "h1", "h2")).alias("head"))
-    near = spread_join(classes, heads, ["component"], "id").join(links.withColumnRenamed("weight", "others"), "id", "left").select("h1", "h2", "links", "others", "head")
+    near = split_join(classes, heads, ["component"], name="heads").join(links.withColumnRenamed("weight", "others"), "id", "left").select("h1", "h2", "links", "others", "head")
     named = texts.join(near, ["h1", "h2"], "left").filter("n > 1 or head is not null")
     named = named.select("h1", "h2", "n", "links", "others", F.coalesce("head", F.struct("least.doc", "least.digest", "h1", "h2")).alias("head"))
-    # a text may stand in a third of all rows: they are dealt to parts
-    out = spread_join(rows, named, ["h1", "h2"], "doc", "left")
+    # a text may stand in a third of all rows: they can be split over tasks
+    out = split_join(rows, named, ["h1", "h2"], "left", "named")
     copies = F.coalesce(F.col("n") - 1, F.lit(0))
     mine = F.struct("doc", "digest", "h1", "h2")
     return out.select(

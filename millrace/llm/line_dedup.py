@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_contain, member_test
-from .components import components, spread_join
+from .components import components, split_join
 from .store import keep, small_batches, without
 from .textkit import band_keys, char_shingles, chunks, one_permutation, signed
 from .verify import buckets, linked
@@ -167,10 +167,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # classes: components, and lines that only have copies; a line of neither has nothing to remove
     copies = lines.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2", F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.lit(False).alias("near"))
     marked = near.unionByName(copies).groupBy("h1", "h2").agg(F.max(F.struct("near", "c1", "c2")).alias("c")).select("h1", "h2", "c.*")
-    # a line may stand in a third of all documents: its rows are dealt to parts
-    placed = keep(spread_join(lines, marked, ["h1", "h2"], "doc"), "placed")
+    # a line may stand in a third of all documents: its rows can be split over tasks
+    placed = keep(split_join(lines, marked, ["h1", "h2"], name="marked"), "placed")
     heads = placed.groupBy("near", "c1", "c2").agg(F.min(F.struct("doc", "digest", "line")).alias("head"), F.min("h1").alias("class_id"))
-    gone = spread_join(placed, heads, ["near", "c1", "c2"], "doc").filter(F.struct("doc", "digest", "line") != F.col("head"))
+    gone = split_join(placed, heads, ["near", "c1", "c2"], name="heads").filter(F.struct("doc", "digest", "line") != F.col("head"))
     gone = gone.select("doc", "digest", F.struct("line", "class_id", F.col("head.doc").alias("kept_doc"), F.col("head.line").alias("kept_line")).alias("x"))
     again = some.groupBy("__doc", "__digest").count().filter("count > 1").select("__doc", "__digest", F.lit(None).cast(gone.schema["x"].dataType))
     gone = gone.union(again)

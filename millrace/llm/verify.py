@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Forest, components, spread_join
+from .components import Forest, components, split_join
 from .store import keep
 from .textkit import U, mix, signed
 
@@ -320,7 +320,7 @@ def linked(members: DataFrame, texts: DataFrame, shingle: Callable, threshold: f
     sizes = keep(sizes.filter(F.col("n") > F.col("most.count")).select("bucket", F.col("most.group").alias("most"), F.ceil(F.col("n") / block).alias("all_blocks"), F.ceil((F.col("n") - F.col("most.count")) / block).alias("other_blocks")), f"{name}-mixed")
     if sizes.isEmpty():
         return edges
-    part = spread_join(big, sizes, ["bucket"], "id")
+    part = big.join(sizes, "bucket")
     h = F.xxhash64("id", F.lit(5))
     every = part.withColumn("i", F.pmod(h, "all_blocks")).withColumn("j", F.explode(F.expr("sequence(0L, other_blocks - 1)"))).withColumn("side", F.lit(0))
     other = part.filter(F.col("group") != F.col("most")).withColumn("j", F.pmod(h, "other_blocks")).withColumn("i", F.explode(F.expr("sequence(0L, all_blocks - 1)"))).withColumn("side", F.lit(1))
@@ -366,7 +366,7 @@ def counted(classes: DataFrame, texts: DataFrame, shingle: Callable, threshold:
     and each pair of blocks is a unit of its own, so no task holds a class.
     """
     sizes = classes.groupBy("component").count().filter(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    cut = spread_join(classes, sizes, ["component"], "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = split_join(classes, sizes, ["component"], "left", "sizes").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = cut.select("id", "component", "weight", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     laid = each.join(texts, "id").select("component", "i", "j", "id", "weight", "block", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
