@@ -183,8 +183,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moved = docs.filter("__hit").join(gone.select(F.col("doc").alias("__d"), F.col("digest").alias("__g"), "removed"), (F.col("__doc") == F.col("__d")) & (F.col("__digest") == F.col("__g")), "left").drop("__d", "__g")
     moved = moved.withColumn("__copy", F.row_number().over(Window.partitionBy("__doc", "__digest").orderBy("__digest")))
     out = same.unionByName(moved)
-    # most lines begin with a visible ASCII character; the others are searched for one
-    all_lines = F.size(F.filter(F.split(text_col, "\n"), lambda x: F.ascii(x).between(33, 126) | x.rlike(r"(?U)\S")))
+    # where every line begins with a visible character, line feeds are counted; the other texts are split and their lines searched for one
+    feeds = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    searched = F.size(F.filter(F.split(text_col, "\n"), lambda x: F.ascii(x).between(33, 126) | x.rlike(r"(?U)\S")))
+    all_lines = F.when(F.col(text_col).rlike(r"(?U)(?:^|\n)(?:\s|\z)"), searched).otherwise(feeds + 1)
     out = out.withColumn("n_lines", F.coalesce(F.when(F.length(text_col) > 0, all_lines), F.lit(0)))
     copy = F.col("__copy") > 1
     out = out.withColumn("n_kept", F.when(copy, F.lit(0)).otherwise(F.col("n_lines") - F.coalesce(F.size("removed"), F.lit(0))))

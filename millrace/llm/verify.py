@@ -129,19 +129,20 @@ def buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return laid.mapInArrow(_read(block), "bucket long, big boolean, block int, id long").distinct()
 
 
-def distinct(shingle: Callable, texts: list[str]) -> list[np.ndarray]:
-    """The sorted set of each text."""
-    h, row = shingle(texts)
-    return [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(texts))))]
-
-
 class Sets:
-    """Sorted sets of hashes; overlaps of one with all that are left."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets])
-        self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
-        self.mark = np.zeros(int(self.codes.max(initial=-1)) + 1, bool)
+    """The sets of texts; overlaps of one with all that are left."""
+
+    def __init__(self, hashes: np.ndarray, row: np.ndarray, rows: int):
+        order = sort_order(hashes)
+        h, row = hashes[order], row[order]
+        other = np.ones(len(h), bool)
+        other[1:] = h[1:] != h[:-1]
+        code = np.cumsum(other) - 1
+        other[1:] |= row[1:] != row[:-1]  # a shingle of a text counts once
+        code, row = code[other], row[other]
+        self.codes = code[np.argsort(row.astype(np.uint16) if rows < 1 << 16 else row, kind="stable")]
+        self.size = np.bincount(row, minlength=rows)
+        self.mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
         self.ends = np.cumsum(self.size)
         self.use(np.flatnonzero(self.size > 0))
 
@@ -166,9 +167,9 @@ class Sets:
         return self.left[ok], both[ok] / union[ok]
 
 
-def tree(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
+def tree(all_: Sets, threshold: float) -> list[tuple[int, int, float]]:
     """Edges (a, b, similarity) of a spanning forest of the links between the sets; empty sets link to none."""
-    all_, out, queue = Sets(sets), [], []
+    out, queue = [], []
     waits = all_.size > 0
     while waits.any():
         x = queue.pop() if queue else int(np.argmax(waits))
@@ -203,7 +204,7 @@ def _edges(rows):
 
 
 #: Members up to which all pairs of a block are compared, many blocks at a time; characters of text that are gathered for that.
-SMALL, GATHER = 32, 500_000
+SMALL, GATHER = 8, 500_000
 
 
 def sort_order(key: np.ndarray) -> np.ndarray:
@@ -267,7 +268,7 @@ def _in_blocks(shingle: Callable, threshold: float):
                 units.append(rows)
                 held += sum(len(r[1]) for r in rows)
             elif len(rows) > SMALL:
-                out += [(rows[x][0], rows[y][0], s) for x, y, s in tree(distinct(shingle, [r[1] for r in rows]), threshold)]
+                out += [(rows[x][0], rows[y][0], s) for x, y, s in tree(Sets(*shingle([r[1] for r in rows]), len(rows)), threshold)]
             if held > GATHER:
                 out += small(units)
                 units, held = [], 0
@@ -285,7 +286,7 @@ def _across(shingle: Callable, threshold: float):
     def run(batches):
         out = []
         for _, rows in _grouped(batches, 3):
-            sets, forest = Sets(distinct(shingle, [r[3] for r in rows])), Forest()
+            sets, forest = Sets(*shingle([r[3] for r in rows]), len(rows)), Forest()
             side = np.array([r[0] for r in rows])
             if side.all() or not side.any():
                 continue
@@ -335,7 +336,7 @@ def _count(shingle: Callable, threshold: float):
         out = []
         for (_, i, j), rows in _grouped(batches, 3):
             weight, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            sets = Sets(distinct(shingle, [r[3] for r in rows]))
+            sets = Sets(*shingle([r[3] for r in rows]), len(rows))
             links, heavy = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
             if i != j:
                 sets.use(np.flatnonzero(block == i))
